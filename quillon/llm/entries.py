@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
-from . import grid_clusters, merge_replay, mixture, posting_knn, ppmi, radix_counts, rank_walk, repetition
+from . import grid_clusters, merge_replay, mixture, posting_knn, ppmi, radix_counts, rank_walk, repetition, scan_repair
 
 
 def _walked(spark: SparkSession, d: str) -> DataFrame:
@@ -33,6 +33,14 @@ def p2_ppmi(spark, d):
     return _scored(spark, d).withColumn("ppmi", F.round("ppmi", 6))
 
 
+def p3_found(spark, d):
+    return scan_repair.marked_lines(scan_repair.scan_repair(table(spark, d, "corpus")))
+
+
+def p3_text(spark, d):
+    return scan_repair.scan_repair(table(spark, d, "corpus")).select("doc_id", "text")
+
+
 def _frequencies(spark, d):
     return radix_counts.term_frequencies(table(spark, d, "postings"), table(spark, d, "corpus"))
 
@@ -89,7 +97,7 @@ def p9_repetition(spark, d):
     return repetition.repetition(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_ppmi, p4_found, p4_frequencies, p5_found, p5_clusters, p6_found, p6_neighbors, p7_ids, p8_found, p8_selection, p8_report, p9_found, p9_repetition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_ppmi, p3_found, p3_text, p4_found, p4_frequencies, p5_found, p5_clusters, p6_found, p6_neighbors, p7_ids, p8_found, p8_selection, p8_report, p9_found, p9_repetition)}
 
 _TF = """
 text_of AS (SELECT doc_id, max(text) AS text FROM corpus WHERE doc_id IS NOT NULL GROUP BY doc_id),
