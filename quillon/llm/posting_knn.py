@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import written
-from .balanced import CentroidGraph, balanced_centroids, squared
-from .packed import distinct_vectors, unpack, usable
+from .balanced import CentroidGraph, balanced_centroids
+from .packed import unpack, usable
 
 
 def _copies(ids: DataFrame, keep: int) -> DataFrame:
@@ -52,22 +52,43 @@ def list_rows(reps: DataFrame, graph: CentroidGraph, dim: int, member_ratio: flo
     return reps.select("rep", "v").mapInArrow(of, "list int, query boolean, rep long, v binary")
 
 
-def nearest(q_ids: np.ndarray, q: np.ndarray, m_ids: np.ndarray, m: np.ndarray, k: int, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k nearest members of each query by (distance, id), not itself, at most ``limit`` away, as rows."""
-    found_q, found_m, found_d = [], [], []
+def nearest(q_ids: np.ndarray, q: np.ndarray, m_ids: np.ndarray, m: np.ndarray, k: int, limit: float, lanes: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest members of each query by (distance, id), not itself, at most ``limit`` away, as rows.
+
+    One product gives distances less the query's own square. The k-th least of the minima of column groups
+    bounds the k-th least of all, so only few columns are looked at further; their distances are taken anew.
+    """
     order = np.argsort(m_ids, kind="stable")
     m_ids, m = m_ids[order], m[order]
-    rows = max(1, (1 << 23) // max(1, len(m)))
+    n, groups = len(m), -(-len(m) // lanes)
+    side = np.zeros((groups * lanes, m.shape[1] + 1), np.float32)
+    side[:n, :-1], side[:n, -1], side[n:, -1] = m, (m * m).sum(1), np.inf
+    side = np.ascontiguousarray(side.T)
+    own = (q * q).sum(1)
+    asked = np.c_[-2 * q, np.ones(len(q), np.float32)].astype(np.float32)
+    self_at = np.minimum(np.searchsorted(m_ids, q_ids), n - 1)
+    is_self = m_ids[self_at] == q_ids
+    found_q, found_m, found_d = [], [], []
+    rows = max(1, (1 << 22) // (groups * lanes))
     for s in range(0, len(q), rows):
-        d = squared(q[s : s + rows], m)
-        d[q_ids[s : s + rows, None] == m_ids[None]] = np.inf
-        if k < len(m):
-            bound = np.minimum(np.partition(d, k - 1, axis=1)[:, k - 1], limit)
-        else:
-            bound = np.full(len(d), limit)
-        r, c = np.nonzero((d <= bound[:, None]) & np.isfinite(d))
-        dist = d[r, c]
+        part = slice(s, min(s + rows, len(q)))
+        d = asked[part] @ side
+        at = np.flatnonzero(is_self[part])
+        d[at, self_at[part][at]] = np.inf
+        bound = np.full(len(d), limit, np.float64) - own[part]
+        if k < groups:
+            least = d.reshape(len(d), lanes, groups).min(axis=1)
+            bound = np.minimum(bound, np.partition(least, k - 1, axis=1)[:, k - 1])
+        elif k < n:
+            bound = np.minimum(bound, np.partition(d, k - 1, axis=1)[:, k - 1])
+        slack = 1e-6 * (own[part] + 1)  # rounding of the product; exact distances decide
+        r, c = np.nonzero(d <= (bound + slack).astype(np.float32)[:, None])
+        far = np.isinf(d[r, c])
+        r, c = r[~far], c[~far]
+        diff = q[s + r] - m[c]
+        dist = np.einsum("ij,ij->i", diff, diff).astype(np.float64)
         best = np.lexsort((c, dist, r))
+        best = best[dist[best] <= limit]
         r, c, dist = r[best], c[best], dist[best]
         keep = np.arange(len(r)) - np.searchsorted(r, r) < k
         found_q.append(q_ids[s + r[keep]])
