@@ -22,6 +22,53 @@ def append_records(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
+REQUIRED = ("index", "n_base", "k", "measurements.recall_at_k", "measurements.qps_mean")
+
+
+def publishable(rows: DataFrame, *, trusted_only: bool = True, without: tuple[str, ...] = ()) -> DataFrame:
+    """Records that may be reported: trusted, with every required field, of none of the kinds in ``without``."""
+    if trusted_only:
+        rows = rows.filter(F.coalesce(F.col("env.trusted"), F.lit(False)))
+    for field in REQUIRED:
+        rows = rows.filter(F.col(field).isNotNull())
+    return rows.filter(~F.coalesce(F.col("index_params.kind"), F.lit("")).isin(list(without))) if without else rows
+
+
+def largest_base(rows: DataFrame, size: str = "n_base") -> DataFrame:
+    """The rows of the largest ``size``."""
+    return rows.join(F.broadcast(rows.agg(F.max(size).alias("_most"))), F.col(size) == F.col("_most")).drop("_most")  # one row
+
+
+def curves(rows: DataFrame, keys: list[str], x: str, *ys: str) -> DataFrame:
+    """One row a group with its points (x, *ys) as an array in numeric order of x: the points of a curve are few."""
+    points = F.struct(F.col(x).alias("x"), *[F.col(y).alias(f"y{i}") for i, y in enumerate(ys)])
+    return rows.filter(F.col(x).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(points)).alias("points"))
+
+
+def trial_rates(trials: DataFrame, keys: list[str], count: str, ms: str) -> DataFrame:
+    """Queries a second over trials: mean, sample deviation (0 for one trial), best time."""
+    qps = F.col(count) / F.col(ms) * 1000
+    return trials.filter(F.col(ms) > 0).groupBy(*keys).agg(F.count("*").alias("trials"), F.round(F.avg(qps), 6).alias("qps_mean"), F.round(F.coalesce(F.stddev_samp(qps), F.lit(0.0)), 6).alias("qps_stddev"), F.min(ms).alias("best_ms"))
+
+
+def environment(spark) -> DataFrame:
+    """One row about where a run took place; what can't be found is null and named in ``note``."""
+    import os
+    import platform
+    import shutil
+    import subprocess
+    from datetime import datetime, timezone
+
+    notes, sha, dirty = [], None, None
+    try:
+        git = lambda *a: subprocess.run(["git", *a], capture_output=True, text=True, timeout=10, check=True).stdout.strip()
+        sha, dirty = git("rev-parse", "HEAD"), bool(git("status", "--porcelain"))
+    except (OSError, subprocess.SubprocessError):
+        notes.append("no commit found")
+    row = (datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"), platform.node(), platform.release(), os.cpu_count(), round(shutil.disk_usage(".").free / 1e9, 3), sha, dirty, spark.version, "; ".join(notes) or None)
+    return spark.createDataFrame([row], "timestamp_utc string, hostname string, kernel string, hw_threads int, free_disk_gb double, git_sha string, git_dirty boolean, spark string, note string")
+
+
 def untrusted_reason(sha: Column, dirty: Column, build: Column, sanitizers: Column) -> Column:
     """Why a record can't be published; null if it can."""
     return F.when(F.coalesce(sha, F.lit("")) == "", "no commit").when(F.coalesce(dirty, F.lit(True)), "uncommitted changes").when(F.coalesce(build, F.lit("")) != "Release", "not a release build").when(F.coalesce(sanitizers, F.lit("")) != "", "sanitizers on")

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..api import GraphIndex, PqIndex
 from ..functions import sqlfuncs
 from ..functions.distance import norm_sq
 from ..functions.draws import graph_level
@@ -531,6 +532,25 @@ def crossover_point(spark, d):
     return records.crossover(spark.createDataFrame(sweep, "n long, speedup double"))
 
 
+@query("""SELECT event_type, list(d ORDER BY d) AS days, list(n ORDER BY d) AS counts FROM (SELECT event_type, CAST(dayofmonth(ts) AS INTEGER) AS d, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL) GROUP BY event_type""")
+def records_curves(spark, d):
+    """Events a day as the points of one curve for each type."""
+    g = table(spark, d, "events").filter("ts is not null").groupBy("event_type", F.dayofmonth("ts").alias("d")).agg(F.count("*").alias("n"))
+    points = records.curves(g, ["event_type"], "d", "n")
+    return points.select("event_type", F.transform("points", lambda p: p["x"]).alias("days"), F.transform("points", lambda p: p["y0"]).alias("counts"))
+
+
+@query("""SELECT event_type, count(*) AS trials, round(avg(1 / value * 1000), 6) AS qps_mean, round(coalesce(stddev_samp(1 / value * 1000), 0), 6) AS qps_stddev, min(value) AS best_ms FROM events WHERE value > 0 GROUP BY event_type""")
+def trial_rates(spark, d):
+    """Each event stands for a trial of one query."""
+    return records.trial_rates(table(spark, d, "events").withColumn("one", F.lit(1)).filter("not isnan(value)"), ["event_type"], "one", "value")
+
+
+@query("SELECT user_id, event_id FROM events WHERE user_id = (SELECT max(user_id) FROM events)")
+def records_largest_base(spark, d):
+    return records.largest_base(table(spark, d, "events"), "user_id").select("user_id", "event_id")
+
+
 @query("""WITH g AS (SELECT event_type, dayofmonth(ts) AS threads, round(sum(value), 6) AS qps FROM events WHERE value IS NOT NULL AND ts IS NOT NULL GROUP BY ALL)
 SELECT event_type, CAST(threads AS INTEGER) AS threads, qps, round(qps / first_value(qps) OVER (PARTITION BY event_type ORDER BY threads), 6) AS speedup,
 round(qps / first_value(qps) OVER (PARTITION BY event_type ORDER BY threads) / threads, 6) AS efficiency FROM g""")
@@ -553,6 +573,23 @@ def save_load_roundtrip(spark, d):
     return _out(graph.search_graph(tables["graph"], _asked(v), K, ef=100_000))
 
 
+@query(f"{_PQ} SELECT query_id, id, round(dist, 6) AS dist, rank FROM adcr WHERE rank <= {K}")
+def quantizer_roundtrip(spark, d):
+    """Codes and codebook saved and loaded, then searched without vectors."""
+    v = _vectors(spark, d)
+    root = scratch(spark, "quantizer")
+    PqIndex(v, book=_book(v)).save(root)
+    return _out(PqIndex.load(spark, root).search(_asked(v), K))
+
+
+@query(_knn_sql(_L2))
+def graph_incremental_add(spark, d):
+    """Odd ids added to a graph of the even ones."""
+    v = _vectors(spark, d)
+    index = GraphIndex(v.filter("id % 2 = 0"), ef_construction=100, shard_rows=300).add(v.filter("id % 2 = 1"))
+    return _out(index.search(_asked(v), K, ef=100_000))
+
+
 @query(_knn_sql(_L2))
 def incremental_append_knn(spark, d):
     v = _vectors(spark, d)
