@@ -146,4 +146,10 @@ SELECT id, head_id FROM heads WHERE head_id IN (SELECT head_id FROM heads GROUP
     "p6_found": f"""
 WITH {_VECTORS}, best AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM near)
 SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM best WHERE r <= 5""",
+    "p9_found": """
+WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}]+'), lambda x: lower(x)) AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+f AS (SELECT *, min(i) OVER (PARTITION BY doc_id, g) AS first FROM g),
+m AS (SELECT doc_id, count(DISTINCT p) AS c FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM f WHERE i > first) GROUP BY doc_id)
+SELECT doc_id FROM w JOIN m USING (doc_id) WHERE c / len(w) >= 0.3""",
 }
