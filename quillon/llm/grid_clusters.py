@@ -57,15 +57,19 @@ def grid_of(mean: np.ndarray, cov: np.ndarray, axes: int, width: float, seed: in
     return cells
 
 
-def merge_round(reps: DataFrame, cells, dim: int, radius2: float, hot: int) -> DataFrame:
-    """(rep, v, parent): each vector with the smallest id of its cell if that is within the radius, else itself."""
+def merge_round(reps: DataFrame, grids: list, dim: int, radius2: float, hot: int) -> DataFrame:
+    """(rep, v, parent): each vector with the smallest id that stands for one of its cells in ``grids`` and lies within
+    the radius, else itself."""
 
     def quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                c = cells(unpack(b.column(1), dim))
-                keys = pa.Array.from_buffers(pa.binary(), len(c), [None, pa.py_buffer((np.arange(len(c) + 1) * c.shape[1] * 2).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(c))])
-                yield pa.RecordBatch.from_arrays([keys, b.column(0), b.column(1)], ["cell", "rep", "v"])
+                x = unpack(b.column(1), dim)
+                for g, cells in enumerate(grids):
+                    c = cells(x)
+                    c = np.ascontiguousarray(np.c_[np.full(len(c), g, np.int16), c])
+                    keys = pa.Array.from_buffers(pa.binary(), len(c), [None, pa.py_buffer((np.arange(len(c) + 1) * c.shape[1] * 2).astype(np.int32)), pa.py_buffer(c)])
+                    yield pa.RecordBatch.from_arrays([keys, b.column(0), b.column(1)], ["cell", "rep", "v"])
 
     rows = reps.select("rep", "v").mapInArrow(quantise, "cell binary, rep long, v binary")
     counted = rows.groupBy("cell").agg(F.count("*").alias("n"), F.min(F.struct("rep", "v")).alias("head"))
@@ -93,31 +97,48 @@ def merge_round(reps: DataFrame, cells, dim: int, radius2: float, hot: int) -> D
     for s in sides:
         part = s.select("rep", "v", "parent", "pv").mapInArrow(verify, "rep long, v binary, parent long")
         out = part if out is None else out.unionByName(part)
-    return out
+    return out if len(grids) == 1 else out.groupBy("rep", "v").agg(F.min("parent").alias("parent"))
 
 
-def grid_clusters(vectors: DataFrame, radius2: float = 8_000.0, dim: int = 64, width: float | None = None, quiet: int = 3, max_rounds: int = 24, hot: int = 100_000, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+def roots(merged: DataFrame) -> DataFrame:
+    """(rep, parent) with every parent replaced by the end of its chain within the table: minimum labels spread along
+    the chains, twice as far each time, until none moves."""
+    while True:
+        up = merged.select(F.col("rep").alias("parent"), F.col("parent").alias("above"))
+        jumped = written(merged.join(up, "parent", "left").select("rep", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")), "grid-roots")
+        merged = jumped.select("rep", "parent")
+        if not jumped.filter("moved").head(1):
+            return merged
+
+
+def grid_clusters(vectors: DataFrame, radius2: float = 8_000.0, dim: int = 64, width: float | None = None, grids: int = 16, quiet: int = 1, max_rounds: int = 40, hot: int = 100_000, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """(id, head_id): every usable vector's id with the smallest id of its cluster, alone or not.
 
-    Vectors are joined only to one at a squared distance of at most ``radius2``, checked on whole vectors.
-    Rounds go on until ``quiet`` of them in a row join nothing (or ``max_rounds``): a pair that a single
-    grid parts with a chance of about 0.3 stays apart with 0.3 to the number of rounds. Equal vectors are
-    one from the start. Unusable vectors (see ``packed.usable``) have no row; empty tables give none.
+    Vectors are joined only to one at a squared distance of at most ``radius2``, checked on whole vectors. The first
+    round uses one grid; as fewer vectors stand for cells, up to ``grids`` differently turned grids are used at
+    once. Rounds go on until ``quiet`` full ones in a row join nothing (or ``max_rounds``): a pair that one grid
+    parts with a chance of a half stays apart with a half to the number of grids. Equal vectors are one from the
+    start. Unusable vectors (see ``packed.usable``) have no row; empty tables give none.
     """
-    spark = vectors.sparkSession
     ids = written(usable(vectors, id_col, vector_col, dim), "grid-ids")
     reps = written(distinct_vectors(ids), "grid-reps")
     n = reps.count()
     mean, cov = moments(reps, dim)
     width = width or 1.7 * radius2**0.5
     axes = max(6, ceil(log(max(n, 2)) / log(3.2)) + 2)
-    live, left, still, merged = reps.select("rep", "v"), n, 0, []
+    live, left, still, merged, used = reps.select("rep", "v"), n, 0, [], 0
     for t in range(max_rounds):
-        done = written(merge_round(live, grid_of(mean, cov, axes, width, seed=1000 + t), dim, radius2, hot), "grid-round")
+        many = 1 if t == 0 else max(2, min(grids, n // max(left, 1) * 2))
+        many = grids if t >= 3 else many
+        turned = [grid_of(mean, cov, axes, width, seed=1000 + used + g) for g in range(many)]
+        used += many
+        done = written(merge_round(live, turned, dim, radius2, hot), "grid-round")
         live = done.filter("rep = parent").select("rep", "v")
-        merged.append(done.filter("rep <> parent").select("rep", "parent"))
+        moved = done.filter("rep <> parent").select("rep", "parent")
         now = live.count()
-        still = still + 1 if now == left else 0
+        if now < left:
+            merged.append(moved if many == 1 else roots(moved))
+        still = still + 1 if now == left and many >= grids else 0
         left = now
         if still >= quiet or now <= 1:
             break
@@ -128,7 +149,7 @@ def grid_clusters(vectors: DataFrame, radius2: float = 8_000.0, dim: int = 64, w
             m = m.join(known.select(F.col("rep").alias("parent"), F.col("head_id").alias("above")), "parent", "left").select("rep", F.coalesce("above", "parent").alias("head_id"))
         else:
             m = m.select("rep", F.col("parent").alias("head_id"))
-        known = m if known is None else written(known.unionByName(m), "grid-labels")
+        known = written(m if known is None else known.unionByName(m), "grid-labels")
     labels = heads if known is None else heads.unionByName(known)
     copied = ids.join(reps.filter("n > 1").select("v", "rep"), "v").select("id", "rep")
     lone = labels.join(reps.filter("n = 1").select("rep"), "rep", "left_semi").select(F.col("rep").alias("id"), "head_id")
