@@ -41,7 +41,8 @@ def balanced_centroids(sample: np.ndarray, leaf: int, seed: int = 7, rounds: int
 
 
 class CentroidGraph:
-    """k-nearest-neighbour graph over centroids, with spread entry points; searched for whole batches at once."""
+    """k-nearest-neighbour graph over centroids, with spread entry points and one at least in every connected part;
+    searched for whole batches at once."""
 
     def __init__(self, centroids: np.ndarray, degree: int = 20, entries: int = 32):
         self.c = centroids
@@ -52,17 +53,30 @@ class CentroidGraph:
             d = squared(centroids[s : s + 1024], centroids)
             d[np.arange(len(d)), np.arange(s, s + len(d))] = np.inf
             links[s : s + 1024] = np.argsort(d, axis=1, kind="stable")[:, : max(degree, 1)] if n > 1 else 0
-        self.links = links
+        far = np.random.default_rng(17).integers(0, n, (n, min(4, n)))  # long links, so that no group of centroids is a trap
+        self.links = np.c_[links, far].astype(np.int32)
         first = [0]
         near = squared(centroids, centroids[:1])[:, 0]
         while len(first) < min(entries, n):  # farthest points first, so that every region has an entry
             first.append(int(near.argmax()))
             near = np.minimum(near, squared(centroids, centroids[first[-1] :][:1])[:, 0])
-        self.entries = np.array(first, np.int32)
+        self.entries = np.unique(np.r_[np.array(first), self._parts()]).astype(np.int32)
 
-    def within(self, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _parts(self) -> np.ndarray:
+        """The first centroid of each part of the graph that links do not connect."""
+        label = np.arange(len(self.c))
+        while True:
+            low = np.minimum(label, label[self.links].min(1))
+            np.minimum.at(low, self.links.ravel(), np.repeat(low, self.links.shape[1]))
+            low = low[low]
+            if (low == label).all():
+                return np.unique(label)
+            label = low
+
+    def within(self, x: np.ndarray, ratio: float, beam: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All visited (row, centroid, squared distance) with a distance of at most ``ratio`` times the row's
-        least, and the least of each row. The walk goes on from every centroid within the ratio until none is left."""
+        least, and the least of each row. The walk goes on from every centroid within the ratio and from the ``beam``
+        nearest until none of them is left."""
         n, k = len(x), len(self.c)
         dist = np.full((n, k), np.inf, np.float32)
         dist[:, self.entries] = squared(x, self.c[self.entries])
@@ -70,7 +84,8 @@ class CentroidGraph:
         least = dist.min(1)
         slack = max(ratio, 1.25) ** 2
         while True:
-            r, c = np.nonzero((dist <= (least * slack)[:, None]) & ~grown)
+            bound = np.maximum(least * slack, np.partition(dist, beam - 1, axis=1)[:, beam - 1] if k > beam else np.inf)
+            r, c = np.nonzero((dist <= bound[:, None]) & np.isfinite(dist) & ~grown)
             if not len(r):
                 break
             grown[r, c] = True

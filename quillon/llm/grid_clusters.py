@@ -42,10 +42,12 @@ def moments(reps: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 def grid_of(mean: np.ndarray, cov: np.ndarray, axes: int, width: float, seed: int, spread: float = 0.35):
     """A function from vectors to cells: ``axes`` random orthonormal directions within the principal axes
-    whose deviation is at least ``spread`` of the largest, cut at ``width`` with random shifts."""
+    whose deviation is at least ``spread`` of the largest, six more than needed at least, cut at ``width`` with random
+    shifts."""
     rng = np.random.default_rng(seed)
     values, vectors = np.linalg.eigh(cov)
-    strong = vectors[:, values >= max(values.max(), 1e-9) * spread**2]
+    wide = max(int((values >= max(values.max(), 1e-9) * spread**2).sum()), axes + 6)
+    strong = vectors[:, -wide:]
     axes = min(axes, strong.shape[1])
     turn, _ = np.linalg.qr(rng.normal(size=(strong.shape[1], axes)))
     to = (strong @ turn).astype(np.float32)
@@ -58,21 +60,27 @@ def grid_of(mean: np.ndarray, cov: np.ndarray, axes: int, width: float, seed: in
 
 
 def merge_round(reps: DataFrame, grids: list, dim: int, radius2: float, hot: int) -> DataFrame:
-    """(rep, v, parent): each vector with the smallest id that stands for one of its cells in ``grids`` and lies within
-    the radius, else itself."""
+    """(rep, v, parent): each vector with the smallest id it was joined to, else itself.
+
+    A cell is stood for by its smallest id in even grids and by a random one in odd grids, so that of
+    several clusters that share a cell each has its turn; whoever lies within the radius of it is joined to it, the
+    larger id to the smaller."""
 
     def quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x = unpack(b.column(1), dim)
                 for g, cells in enumerate(grids):
+                    rep = b.column(0).to_numpy()
+                    turn = rep if g % 2 == 0 else (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(g * 0x5851F42D4C957F2D % 2**64)).view(np.int64)
                     c = cells(x)
                     c = np.ascontiguousarray(np.c_[np.full(len(c), g, np.int16), c])
                     keys = pa.Array.from_buffers(pa.binary(), len(c), [None, pa.py_buffer((np.arange(len(c) + 1) * c.shape[1] * 2).astype(np.int32)), pa.py_buffer(c)])
-                    yield pa.RecordBatch.from_arrays([keys, b.column(0), b.column(1)], ["cell", "rep", "v"])
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(turn), b.column(0), b.column(1)], ["cell", "turn", "rep", "v"])
 
-    rows = reps.select("rep", "v").mapInArrow(quantise, "cell binary, rep long, v binary")
-    counted = rows.groupBy("cell").agg(F.count("*").alias("n"), F.min(F.struct("rep", "v")).alias("head"))
+    rows = reps.select("rep", "v").mapInArrow(quantise, "cell binary, turn long, rep long, v binary")
+    counted = rows.groupBy("cell").agg(F.count("*").alias("n"), F.min(F.struct("turn", "rep", "v")).alias("head"))
+    rows = rows.drop("turn")
     counted = counted.filter("n > 1").select("cell", "n", F.col("head.rep").alias("parent"), F.col("head.v").alias("pv"))
     counted = written(counted, "grid-cells")
     full = counted.filter(F.col("n") > hot)  # at most rows / hot cells
@@ -89,8 +97,11 @@ def merge_round(reps: DataFrame, grids: list, dim: int, radius2: float, hot: int
             joined = rep.copy()
             if len(at):
                 diff = unpack(b.column(1).take(pa.array(at)), dim) - unpack(b.column(3).take(pa.array(at)), dim)
-                near = np.einsum("ij,ij->i", diff, diff) <= radius2
-                joined[at[near]] = parent[at[near]]
+                at = at[np.einsum("ij,ij->i", diff, diff) <= radius2]
+                down, up = at[parent[at] < rep[at]], at[parent[at] > rep[at]]
+                joined[down] = parent[down]
+                if len(up):
+                    yield pa.RecordBatch.from_arrays([b.column(2).take(pa.array(up)), b.column(3).take(pa.array(up)), pa.array(rep[up])], ["rep", "v", "parent"])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(joined)], ["rep", "v", "parent"])
 
     out = None

@@ -53,12 +53,12 @@ def test_graph_walk_finds_all_within_ratio(cloud):
     g = balanced.CentroidGraph(c, degree=12, entries=8)
     r, k, d, least = g.within(cloud[:100], 1.3)
     full = balanced.squared(cloud[:100], c)
-    assert np.allclose(least, full.min(1), rtol=1e-4)
+    assert np.allclose(least, full.min(1), rtol=1e-2)
     want = set(zip(*np.nonzero(full <= full.min(1)[:, None] * 1.69 * 0.999)))
     assert len(want & set(zip(r.tolist(), k.tolist()))) >= 0.97 * len(want)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"target": 30, "query_block": 16, "member_block": 24}])
+@pytest.mark.parametrize("sizes", [{}, {"target": 30, "query_block": 16, "member_block": 24, "query_ratio": 1.5}])
 def test_pairs_against_brute_force(table, sizes):
     df, points = table
     ids, d = exact(points)
