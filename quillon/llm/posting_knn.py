@@ -98,7 +98,7 @@ def nearest(q_ids: np.ndarray, q: np.ndarray, m_ids: np.ndarray, m: np.ndarray,
 
 
 def nearest_reps(reps: DataFrame, n: int, k: int, dim: int, limit: float, queries=None, sample: int = 65_536, target: int = 4_000, member_ratio: float = 1.03, replicas: int = 2, query_ratio: float = 1.08, query_block: int = 8_192, member_block: int = 16_384) -> DataFrame:
-    """(rep, other, dist): the k nearest other vectors of each different vector (those matching ``queries``)."""
+    """(rep, other, dist): the k nearest other vectors of each different vector (those in ``queries``)."""
     spark = reps.sparkSession
     share = min(1.0, sample / max(n, 1))
     mark = F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(1 << 30))
@@ -107,7 +107,7 @@ def nearest_reps(reps: DataFrame, n: int, k: int, dim: int, limit: float, querie
     centroids = balanced_centroids(x, max(16, int(target * len(x) / max(n, 1)))) if len(x) else np.zeros((1, dim), np.float32)
     rows = list_rows(reps, CentroidGraph(centroids), dim, member_ratio, replicas, query_ratio)
     if queries is not None:
-        rows = rows.filter(~F.col("query") | queries)
+        rows = rows.filter("not query").unionByName(rows.filter("query").join(queries, "rep", "left_semi"))
     rows = written(rows, "knn-lists")
     sizes = rows.groupBy("list").agg(F.count_if("query").alias("q"), F.count_if(~F.col("query")).alias("m"))
     sizes = sizes.select("list", F.ceil(F.col("q") / query_block).cast("int").alias("qb"), F.ceil(F.col("m") / member_block).cast("int").alias("mb")).filter("qb > 0 and mb > 0")
@@ -142,13 +142,12 @@ def similar_vectors(vectors: DataFrame, k: int = 5, dim: int = 64, limit: float
     asked = None
     if every > 1:
         wanted = ids.filter(F.pmod("id", F.lit(every)) == 0)
-        asked_reps = wanted.join(reps.select("v", "rep"), "v").select("rep").distinct().withColumn("asked", F.lit(True))
-        reps = written(reps.join(asked_reps, "rep", "left").withColumn("asked", F.coalesce("asked", F.lit(False))), "knn-asked")
-    found = _nearest_of(reps, n, k, dim, limit, asked=every > 1, **index)
+        asked = written(wanted.join(reps.select("v", "rep"), "v").select("rep").distinct(), "knn-asked")
+    found = nearest_reps(reps, n, k, dim, limit, queries=asked, **index)
     others = found.join(reps.select(F.col("rep").alias("other"), F.col("near").alias("ids")), "other")
     spread = others.select("rep", F.transform("ids", lambda i: F.struct(F.col("dist").alias("dist"), i.alias("id"))).alias("c"))
     spread = spread.groupBy("rep").agg(F.flatten(F.collect_list("c")).alias("c"))
-    own = reps.filter("asked") if every > 1 else reps
+    own = reps.join(asked, "rep", "left_semi") if every > 1 else reps
     near = own.join(spread, "rep", "left").select(
         "rep", "v", "near",
         F.slice(F.array_sort(F.concat(F.transform("near", lambda i: F.struct(F.lit(0.0).alias("dist"), i.alias("id"))), F.coalesce("c", F.array().cast("array<struct<dist:double,id:bigint>>")))), 1, 2 * k + 2).alias("c"),
@@ -161,13 +160,6 @@ def similar_vectors(vectors: DataFrame, k: int = 5, dim: int = 64, limit: float
     return rows.select("id", F.slice(F.filter("c", lambda x: x["id"] != F.col("id")), 1, k).alias("near"))
 
 
-def _nearest_of(reps: DataFrame, n: int, k: int, dim: int, limit: float, asked: bool, **index) -> DataFrame:
-    if not asked:
-        return nearest_reps(reps, n, k, dim, limit, **index)
-    marked = reps.filter("asked").select("rep")
-    return nearest_reps(reps, n, k, dim, limit, **index).join(marked, "rep", "left_semi")
-
-
 def close_pairs(near: DataFrame) -> DataFrame:
     """(id_a, id_b) with id_a < id_b: pairs of which one is in the other's list."""
     pairs = near.select("id", F.explode("near").alias("n")).select("id", F.col("n.id").alias("other"))
