@@ -44,13 +44,17 @@ def bm25_idf(index: TextIndex) -> DataFrame:
     return index.terms.join(F.broadcast(index.stats)).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
+def bm25_weights(index: TextIndex, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(term, doc_id, weight): what a term of a query adds to a document's score, once for every posting."""
+    rows = index.postings.join(index.docs, "doc_id").join(bm25_idf(index).select("term", "idf"), "term").join(F.broadcast(index.stats.select("avgdl")))  # one row
+    ratio = F.when(F.col("avgdl") > 0, F.col("len") / F.col("avgdl")).otherwise(F.lit(0.0))
+    return rows.select("term", "doc_id", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * ratio))).alias("weight"))
+
+
 def bm25_scores(index: TextIndex, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, id, score) of all documents that share a term with the query. Unknown terms add nothing."""
-    hits = query_terms(queries).join(index.postings, "term").join(bm25_idf(index).select("term", "idf"), "term")
-    hits = hits.join(index.docs, "doc_id").join(F.broadcast(index.stats.select("avgdl")))  # one row
-    ratio = F.when(F.col("avgdl") > 0, F.col("len") / F.col("avgdl")).otherwise(F.lit(0.0))
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * ratio))
-    return hits.groupBy("query_id", F.col("doc_id").alias("id")).agg(F.sum(F.col("times") * weight).alias("score"))
+    hits = query_terms(queries).join(bm25_weights(index, k1, b), "term")
+    return hits.groupBy("query_id", F.col("doc_id").alias("id")).agg(F.sum(F.col("times") * F.col("weight")).alias("score"))
 
 
 def ranked_by_score(scores: DataFrame, k: int) -> DataFrame:
