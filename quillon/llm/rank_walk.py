@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ..plans.lineage import written
 
 SCHEMA = "query_no long, id long, position int, stationarity double, lists_in int, worst_rank long, n_lists int"
+#: Decimals of stationarity times the query's items that decide the order: the same part of the mean at any number of items.
+DIGITS = 10
 
 
 def counting_scores(ranked: DataFrame, queries: DataFrame, lists: DataFrame) -> DataFrame:
@@ -64,7 +66,7 @@ def walk(q: np.ndarray, lists: np.ndarray, item: np.ndarray, damping: float, tol
         x = y
         if moved < tol:
             break
-    x = np.round(x, 12)
+    x = np.round(x * per[qi], DIGITS) / per[qi]
     best = np.lexsort((ii, -x, qi))
     position = np.empty(len(x), np.int32)
     position[best] = np.arange(len(x)) - np.r_[0, np.cumsum(per)][qi[best]] + 1
@@ -114,10 +116,10 @@ def rank_walk(ranked: DataFrame, queries: DataFrame, lists: DataFrame, damping:
 
     sorted_ = cool.repartition("query_no").sortWithinPartitions("query_no", "list_id", "dist", "id").select(*rows)
     ranked_ = sorted_.select("query_no", F.col("list_id").cast("long").alias("list_id"), "id").mapInArrow(of, SCHEMA)
-    return ranked_.unionByName(walk_distributed(scores.join(sizes, "query_no", "left_semi"), damping)) if has_hot else ranked_
+    return ranked_.unionByName(walk_distributed(scores.join(sizes, "query_no", "left_semi"), damping, tol, max_iter)) if has_hot else ranked_
 
 
-def walk_distributed(scores: DataFrame, damping: float, tol: float = 1e-7, max_iter: int = 60, block: int = 50_000) -> DataFrame:
+def walk_distributed(scores: DataFrame, damping: float = 0.85, tol: float = 1e-9, max_iter: int = 200, block: int = 50_000) -> DataFrame:
     """The same walk for queries too large for a task: ranks from a range sort, sums ahead from block sums."""
     key = ["query_no", "list_id"]
     part = scores.repartitionByRange("query_no", "list_id", "dist", "id").withColumn("part", F.spark_partition_id())
@@ -152,7 +154,7 @@ def walk_distributed(scores: DataFrame, damping: float, tol: float = 1e-7, max_i
         x = both.select("query_no", "id", F.col("y").alias("x"))
         if moved is None or moved < tol:
             break
-    x = x.withColumn("x", F.round("x", 12))
+    x = x.join(n_items, "query_no").select("query_no", "id", (F.round(F.col("x") * F.col("n_items"), DIGITS) / F.col("n_items")).alias("x"))
     part = written(x.repartitionByRange("query_no", F.desc("x"), "id").withColumn("part", F.spark_partition_id()), "walk-order")
     counts = part.groupBy("query_no", "part").count()
     before = counts.withColumn("before", F.sum("count").over(Window.partitionBy("query_no").orderBy("part")) - F.col("count")).drop("count")

@@ -71,3 +71,18 @@ def test_clashing_columns(spark):
     r, q, lists = tables(spark, rows_of(0, [[1, 2], [2, 1]]))
     r = r.withColumn("position", F.lit("x")).withColumn("n_lists", F.lit(1)).withColumn("alpha", F.lit(2))
     assert rank_walk.rank_walk(r, q.withColumn("id", F.lit(1)), lists.withColumn("query_no", F.lit(0))).count() == 2
+
+
+def test_one_long_list_keeps_its_order():
+    n = 1_000_000
+    q = np.zeros(n, np.int64)
+    _, ids, position, *_ = rank_walk.walk(q, q, np.arange(n)[::-1].copy(), 0.85, 1e-9, 200)
+    assert (position == n - ids).all()  # neighbours far down differ by 1e-13, a ten-millionth of the mean
+
+
+def test_hot_queries_end_like_others(spark):
+    rng = np.random.default_rng(7)
+    args = tables(spark, rows_of(0, [list(map(int, rng.permutation(40))) for _ in range(3)]))
+    cool, hot = ({r.id: (r.position, r.stationarity) for r in rank_walk.rank_walk(*args, damping=0.5, max_iter=2, hot_rows=h).collect()} for h in (10**6, 10))
+    assert {i: p for i, (p, _) in cool.items()} == {i: p for i, (p, _) in hot.items()}
+    assert all(abs(hot[i][1] - cool[i][1]) < 1e-11 for i in cool)
