@@ -2,7 +2,7 @@
 
 The rules measure what part of a text repeats words, phrases, sentences, lines and paragraphs of itself. An
 isolation forest over these statistics gives each document a score from its path lengths through random
-splits; the score above which a document is anomalous is calibrated on rows labelled by the share.
+splits; the score above which a document is anomalous is calibrated on all rows, labelled by the share.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import written
+
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"[.!?。！？]+\s*")
 FEATURES = ("share", "longest", "top_phrase", "lines", "sentences", "paragraphs", "poverty", "length")
@@ -118,8 +120,8 @@ def repetition(documents: DataFrame, least_share: float = 0.3, span: int = 5, tr
 
     ``share`` is the repeated words by all words (0 without words: null, empty and blank texts). The forest is
     fitted on about ``training_rows`` rows chosen by hash, of any number of rows; ``anomalous`` is a score of
-    at least the least one among sampled rows with a share of ``least_share`` or more, less ``margin`` of
-    the scores' range. Without such rows no score is too low. Repeated rows stay, a null id stays null.
+    at least the least one among all rows with a share of ``least_share`` or more, less ``margin`` of all
+    scores' range. Without such rows no score is too low. Repeated rows stay, a null id stays null.
     """
     spark = documents.sparkSession
     kind = documents.schema[id_col].dataType.simpleString()
@@ -136,11 +138,6 @@ def repetition(documents: DataFrame, least_share: float = 0.3, span: int = 5, tr
     sample = chosen.mapInArrow(measured, f"doc_id {kind}, f array<double>").select("f").toArrow()
     x = np.array(sample.column(0).to_pylist(), float).reshape(-1, len(FEATURES))
     forest = IsolationForest(x) if len(x) else None
-    least = -np.inf
-    if forest is not None:
-        score, label = forest.score(x), x[:, 0] >= least_share
-        if label.any():
-            least = score[label].min() - margin * (score.max() - score.min())
     held = spark.sparkContext.broadcast(forest)  # 64 trees of at most 511 nodes
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,6 +146,9 @@ def repetition(documents: DataFrame, least_share: float = 0.3, span: int = 5, tr
                 stats = np.array([statistics(t, span) for t in b.column(1).to_pylist()]).reshape(-1, len(FEATURES))
                 s = held.value.score(stats) if held.value is not None else np.full(len(stats), 0.5)
                 words = np.round(np.expm1(stats[:, -1])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words), pa.array(stats[:, 0]), pa.array(np.round(s, 12)), pa.array(s >= least)], ["doc_id", "words", "share", "score", "anomalous"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words), pa.array(stats[:, 0]), pa.array(np.round(s, 12))], ["doc_id", "words", "share", "score"])
 
-    return rows.mapInArrow(judged, f"doc_id {kind}, words long, share double, score double, anomalous boolean")
+    scored = written(rows.mapInArrow(judged, f"doc_id {kind}, words long, share double, score double"), "repetition-scores")
+    low, high, labelled = scored.agg(F.min("score"), F.max("score"), F.min(F.when(F.col("share") >= least_share, F.col("score")))).first()
+    least = float("-inf") if labelled is None else labelled - margin * (high - low)
+    return scored.withColumn("anomalous", F.col("score") >= F.lit(least))

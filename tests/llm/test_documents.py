@@ -140,3 +140,15 @@ def test_empty_mixture(spark):
     selection, report = mixture.mix(none, plan)
     assert selection.count() == 0 and {r.source: r.reached for r in report.collect()} == {"a": 0, "b": 0}
     assert mixture.mix(none, spark.createDataFrame([], PLAN))[1].count() == 0
+
+
+def test_rare_repetition_outside_the_sample_is_flagged(spark):
+    plain = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    texts = [f"{plain(i, 10)} {plain(i, 10)} {plain(i + 10000, 17 + i % 20)}" for i in range(3250)]  # shares of 0.17 to 0.27
+    texts += ["word " * (300 + 40 * i) for i in range(50)]  # far from all others
+    texts += [f"{plain(i, 10)} {plain(i, 10)} {plain(i + 10000, 10)}" for i in range(5000, 5012)]  # a third, and in no way odd else
+    df = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    got = repetition.repetition(df, training_rows=100).collect()
+    low = [r for r in got if r.doc_id > 3300]
+    assert all(0.3 <= r.share < 0.34 for r in low) and all(r.anomalous for r in got if r.share >= 0.3)
+    assert sum(r.anomalous for r in got) < len(got)
