@@ -1,9 +1,10 @@
 """Most similar vectors for every vector, by balanced posting lists.
 
-Centroids come from a bounded sample by balanced splits. Every vector is stored in its nearest list and,
-near a boundary, in a second one; as a query it scans all lists whose centroid is within a distance ratio
-of its nearest centroid, found by walking the centroids' in-memory neighbour graph. Lists are scanned in
-blocks of bounded size, so neither a long list nor a popular one ends up in one task.
+Centroids come from a bounded sample by balanced splits, which leave a tight ball whole. Every vector is stored in
+its nearest list and, near a boundary, in a second one; as a query it scans all lists whose centroid is within a
+distance ratio of its nearest centroid, two at least, found in the centroids' in-memory graph. A list that grew
+beyond its bound is split by a tree of its own. Lists are scanned in blocks of bounded size, so neither a long list
+nor a popular one ends up in one task.
 """
 
 from __future__ import annotations
@@ -27,91 +28,135 @@ def _copies(ids: DataFrame, keep: int) -> DataFrame:
     return first.groupBy("v").agg(F.min("id").alias("rep"), F.array_sort(F.collect_list("id")).alias("near"))
 
 
-def list_rows(reps: DataFrame, graph: CentroidGraph, dim: int, member_ratio: float, replicas: int, query_ratio: float) -> DataFrame:
-    """(list, query, rep, v): a row for each list a vector is stored in and for each list it scans."""
-    held = reps.sparkSession.sparkContext.broadcast((graph.c, graph.links, graph.entries))  # centroids: bounded by the sample
+ROWS = "list long, query boolean, rep long, v binary"
+
+
+def _listed(graph: CentroidGraph, base: np.ndarray | int, query: np.ndarray | None, rep: pa.Array, v: pa.Array, dim: int, member_ratio: float, replicas: int, query_ratio: float, floor: int) -> pa.RecordBatch:
+    """Rows of ROWS for vectors that take part as members and as queries (``query`` null), or as either."""
+    r, c, d, least = graph.within(unpack(v, dim), max(query_ratio, member_ratio), max(floor, 2 if replicas > 1 else 1))
+    nth = np.arange(len(r)) - np.searchsorted(r, r)
+    stored = (nth < replicas) & (d <= least[r] * member_ratio**2)
+    scans = (d <= least[r] * query_ratio**2) | (nth < floor)
+    if query is not None:
+        stored, scans = stored & ~query[r], scans & query[r]
+    at = pa.array(np.r_[r[stored], r[scans]])
+    asks = pa.array(np.r_[np.zeros(stored.sum(), bool), np.ones(scans.sum(), bool)])
+    return pa.RecordBatch.from_arrays([pa.array(np.r_[c[stored], c[scans]] + base), asks, rep.take(at), v.take(at)], ["list", "query", "rep", "v"])
+
+
+def list_rows(reps: DataFrame, graph: CentroidGraph, dim: int, member_ratio: float, replicas: int, query_ratio: float, floor: int) -> DataFrame:
+    """ROWS: a row for each list a vector is stored in and for each list it scans."""
+    held = reps.sparkSession.sparkContext.broadcast(graph)  # centroids: bounded by the sample
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = CentroidGraph.__new__(CentroidGraph)
-        g.c, g.links, g.entries = held.value
         for b in batches:
-            for s in range(0, b.num_rows, 2048):
-                part = b.slice(s, 2048)
-                r, c, d, least = g.within(unpack(part.column(1), dim), max(query_ratio, member_ratio))
-                order = np.lexsort((c, d, r))
-                r, c, d = r[order], c[order], d[order]
-                nth = np.arange(len(r)) - np.searchsorted(r, r)
-                stored = (nth < replicas) & (d <= least[r] * member_ratio**2)
-                scans = d <= least[r] * query_ratio**2
-                at = np.r_[r[stored], r[scans]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.r_[c[stored], c[scans]].astype(np.int32)), pa.array(np.r_[np.zeros(stored.sum(), bool), np.ones(scans.sum(), bool)]), part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at))],
-                    ["list", "query", "rep", "v"],
-                )
-
-    return reps.select("rep", "v").mapInArrow(of, "list int, query boolean, rep long, v binary")
-
-
-def nearest(q_ids: np.ndarray, q: np.ndarray, m_ids: np.ndarray, m: np.ndarray, k: int, limit: float, lanes: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            for s in range(0, b.num_rows, 16_384):
+                part = b.slice(s, 16_384)
+                yield _listed(held.value, 0, None, part.column(0), part.column(1), dim, member_ratio, replicas, query_ratio, floor)
+
+    return reps.select("rep", "v").mapInArrow(of, ROWS)
+
+
+def split_lists(rows: DataFrame, dim: int, most: int, fit: int, target: int, member_ratio: float, replicas: int, query_ratio: float, floor: int, block: int = 32_768) -> DataFrame:
+    """``rows`` with every list of more than ``most`` members split by a tree of its own, and again until none is
+    longer: each is fitted on about ``fit`` of its members in one task, its members and queries then walk its graph."""
+    done = None
+    for _ in range(12):
+        sizes = rows.groupBy("list").agg(F.count_if(~F.col("query")).alias("m"), F.count("*").alias("n"))
+        over = written(sizes.filter(F.col("m") > most), "knn-over")  # at most members / most rows
+        if not over.head(1):
+            break
+        stay = rows.join(over, "list", "left_anti")
+        done = stay if done is None else done.unionByName(stay)
+        rows = rows.join(over, "list")
+        mark = F.pmod(F.xxhash64("rep", "list"), F.lit(1 << 30))
+
+        def fitted(t: pa.Table) -> pa.Table:
+            x = unpack(t.column("v"), dim)
+            leaf = max(16, int(target * len(x) / t.column("m")[0].as_py()))
+            c = balanced_centroids(x, leaf, ball=int(most * len(x) / t.column("m")[0].as_py() / 2))
+            return pa.table([pa.array([t.column("list")[0].as_py()]), pa.array([c.tobytes()], pa.binary())], ["list", "c"])
+
+        sample = rows.filter(~F.col("query") & (mark <= (F.lit(float(fit)) / F.col("m") * (1 << 30)).cast("long")))
+        trees = sample.select("list", "v", "m").groupBy("list").applyInArrow(fitted, "list long, c binary")
+        blocks = F.ceil(F.col("n") / block).cast("int")
+        trees = trees.join(over, "list").select("list", "c", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+        parts = rows.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(5)), blocks).cast("int")).select("list", "block", "query", "rep", "v")
+
+        def again(r: pa.Table, c: pa.Table) -> pa.Table:
+            names = ["list", "query", "rep", "v"]
+            if not r.num_rows or not c.num_rows:
+                return r.select(names)
+            graph = CentroidGraph(np.frombuffer(c.column("c")[0].as_py(), np.float32).reshape(-1, dim))
+            base = (c.column("list")[0].as_py() + 1) * 1_048_576 & (1 << 62) - 1
+            r = r.combine_chunks()
+            return pa.Table.from_batches([_listed(graph, base, r.column("query").combine_chunks().to_numpy(zero_copy_only=False), r.column("rep").combine_chunks(), r.column("v").combine_chunks(), dim, member_ratio, replicas, query_ratio, floor)])
+
+        rows = written(parts.groupBy("list", "block").cogroup(trees.groupBy("list", "block")).applyInArrow(again, ROWS).dropDuplicates(["list", "query", "rep"]), "knn-split")
+    return rows if done is None else done.unionByName(rows)
+
+
+def nearest(q_ids: np.ndarray, q: np.ndarray, m_ids: np.ndarray, m: np.ndarray, k: int, limit: float, lanes: int = 64, cells: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k nearest members of each query by (distance, id), not itself, at most ``limit`` away, as rows.
 
     One product gives distances less the query's own square. The k-th least of the minima of column groups
-    bounds the k-th least of all, so only few columns are looked at further; their distances are taken anew.
+    bounds the k-th least of all, so only few groups are looked at further; their distances are taken anew.
     """
     order = np.argsort(m_ids, kind="stable")
     m_ids, m = m_ids[order], m[order]
     n, groups = len(m), -(-len(m) // lanes)
-    side = np.zeros((groups * lanes, m.shape[1] + 1), np.float32)
-    side[:n, :-1], side[:n, -1], side[n:, -1] = m, (m * m).sum(1), np.inf
-    side = np.ascontiguousarray(side.T)
+    width = groups * lanes
+    side = np.zeros((m.shape[1] + 1, width), np.float32)
+    side[:-1, :n], side[-1, :n], side[-1, n:] = m.T, (m * m).sum(1), np.inf
     own = (q * q).sum(1)
     asked = np.c_[-2 * q, np.ones(len(q), np.float32)].astype(np.float32)
     self_at = np.minimum(np.searchsorted(m_ids, q_ids), n - 1)
     is_self = m_ids[self_at] == q_ids
-    found_q, found_m, found_d = [], [], []
-    rows = max(1, (1 << 22) // (groups * lanes))
+    rows = max(1, cells // width)
+    held = np.empty((min(rows, len(q)), width), np.float32)
+    found_r, found_c = [], []
     for s in range(0, len(q), rows):
         part = slice(s, min(s + rows, len(q)))
-        d = asked[part] @ side
+        d = held[: part.stop - s]
+        np.matmul(asked[part], side, out=d)
         at = np.flatnonzero(is_self[part])
         d[at, self_at[part][at]] = np.inf
+        least = d.reshape(len(d), lanes, groups).min(axis=1)
         bound = np.full(len(d), limit, np.float64) - own[part]
-        if k < groups:
-            least = d.reshape(len(d), lanes, groups).min(axis=1)
+        if k <= groups:
             bound = np.minimum(bound, np.partition(least, k - 1, axis=1)[:, k - 1])
-        elif k < n:
-            bound = np.minimum(bound, np.partition(d, k - 1, axis=1)[:, k - 1])
         slack = 1e-6 * (own[part] + 1)  # rounding of the product; exact distances decide
-        r, c = np.nonzero(d <= (bound + slack).astype(np.float32)[:, None])
-        far = np.isinf(d[r, c])
-        r, c = r[~far], c[~far]
-        diff = q[s + r] - m[c]
-        dist = np.einsum("ij,ij->i", diff, diff).astype(np.float64)
-        best = np.lexsort((c, dist, r))
-        best = best[dist[best] <= limit]
-        r, c, dist = r[best], c[best], dist[best]
-        keep = np.arange(len(r)) - np.searchsorted(r, r) < k
-        found_q.append(q_ids[s + r[keep]])
-        found_m.append(m_ids[c[keep]])
-        found_d.append(dist[keep])
-    return np.concatenate(found_q), np.concatenate(found_m), np.concatenate(found_d)
-
-
-def nearest_reps(reps: DataFrame, n: int, k: int, dim: int, limit: float, queries=None, sample: int = 65_536, target: int = 4_000, member_ratio: float = 1.03, replicas: int = 2, query_ratio: float = 1.08, query_block: int = 8_192, member_block: int = 16_384) -> DataFrame:
+        bound = np.minimum(bound + slack, np.finfo(np.float32).max).astype(np.float32)
+        r, g = np.nonzero(least <= bound[:, None])
+        i, lane = np.nonzero(d.reshape(len(d), lanes, groups)[r, :, g] <= bound[r][:, None])
+        found_r.append(s + r[i])
+        found_c.append(lane * groups + g[i])
+    r, c = np.concatenate(found_r), np.concatenate(found_c)
+    diff = q[r] - m[c]
+    dist = np.einsum("ij,ij->i", diff, diff).astype(np.float64)
+    best = np.lexsort((c, dist, r))
+    best = best[dist[best] <= limit]
+    r, c, dist = r[best], c[best], dist[best]
+    keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return q_ids[r[keep]], m_ids[c[keep]], dist[keep]
+
+
+def nearest_reps(reps: DataFrame, n: int, k: int, dim: int, limit: float, queries=None, sample: int = 65_536, target: int = 300, most_list: int = 262_144, member_ratio: float = 1.03, replicas: int = 2, query_ratio: float = 1.03, floor: int = 2, query_block: int = 8_192, member_block: int = 16_384) -> DataFrame:
     """(rep, other, dist): the k nearest other vectors of each different vector (those in ``queries``)."""
     spark = reps.sparkSession
     share = min(1.0, sample / max(n, 1))
     mark = F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(1 << 30))
     fitted = reps.filter(mark <= int(share * (1 << 30))).select("v").toArrow()  # about ``sample`` vectors, whatever n is
     x = unpack(fitted.column(0), dim)
-    centroids = balanced_centroids(x, max(16, int(target * len(x) / max(n, 1)))) if len(x) else np.zeros((1, dim), np.float32)
-    rows = list_rows(reps, CentroidGraph(centroids), dim, member_ratio, replicas, query_ratio)
+    part = len(x) / max(n, 1)
+    centroids = balanced_centroids(x, max(16, int(target * part)), ball=int(most_list * part / 2)) if len(x) else np.zeros((1, dim), np.float32)
+    rows = list_rows(reps, CentroidGraph(centroids), dim, member_ratio, replicas, query_ratio, floor)
     if queries is not None:
         rows = rows.filter("not query").unionByName(rows.filter("query").join(queries, "rep", "left_semi"))
-    rows = written(rows, "knn-lists")
+    rows = split_lists(written(rows, "knn-lists"), dim, most_list, sample // 4, target, member_ratio, replicas, query_ratio, floor)
     sizes = rows.groupBy("list").agg(F.count_if("query").alias("q"), F.count_if(~F.col("query")).alias("m"))
     sizes = sizes.select("list", F.ceil(F.col("q") / query_block).cast("int").alias("qb"), F.ceil(F.col("m") / member_block).cast("int").alias("mb")).filter("qb > 0 and mb > 0")
-    blocks = rows.join(F.broadcast(sizes), "list")  # one row for each centroid
+    blocks = rows.join(sizes, "list")
     other = F.when(F.col("query"), F.col("mb")).otherwise(F.col("qb"))
     own = F.pmod(F.xxhash64("rep"), F.when(F.col("query"), F.col("qb")).otherwise(F.col("mb"))).cast("int")
     blocks = blocks.select("list", "query", "rep", "v", own.alias("own"), F.explode(F.sequence(F.lit(0), other - 1)).alias("other"))

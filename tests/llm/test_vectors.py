@@ -52,13 +52,30 @@ def test_graph_walk_finds_all_within_ratio(cloud):
     c = balanced.balanced_centroids(cloud, 12)
     g = balanced.CentroidGraph(c, degree=12, entries=8)
     r, k, d, least = g.within(cloud[:100], 1.3)
-    full = balanced.squared(cloud[:100], c)
-    assert np.allclose(least, full.min(1), rtol=1e-2)
+    full = ((cloud[:100, None].astype(np.float64) - c[None].astype(np.float64)) ** 2).sum(-1)
+    assert np.allclose(least, full.min(1), rtol=1e-4)
+    assert np.allclose(d, full[r, k], rtol=1e-9)
     want = set(zip(*np.nonzero(full <= full.min(1)[:, None] * 1.69 * 0.999)))
     assert len(want & set(zip(r.tolist(), k.tolist()))) >= 0.97 * len(want)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"target": 30, "query_block": 16, "member_block": 24, "query_ratio": 1.5}])
+def test_graph_walk_visits_a_part():
+    rng = np.random.default_rng(3)
+    c = rng.uniform(0, 255, (4_000, 16)).astype(np.float32)
+    x = (c[rng.integers(0, len(c), 500)] + rng.normal(0, 4, (500, 16))).astype(np.float32)
+    g = balanced.CentroidGraph(c)
+    r, k, d, least = g.within(x, 1.05, floor=2)
+    assert g.visited < 0.6 * len(x) * len(c)
+    assert np.mean(np.isclose(least, balanced.squared(x, c).min(1), rtol=1e-4)) >= 0.97 and (np.bincount(r) >= 2).all()
+
+
+def test_tight_balls_stay_whole(cloud):
+    many = balanced.balanced_centroids(cloud, 20)
+    assert len(balanced.balanced_centroids(cloud, 20, ball=1_000)) < len(many)
+    assert len(balanced.balanced_centroids(np.ones((50, 4), np.float32), 5)) == 1
+
+
+@pytest.mark.parametrize("sizes", [{}, {"target": 30, "query_block": 16, "member_block": 24}, {"most_list": 60, "target": 200}])
 def test_pairs_against_brute_force(table, sizes):
     df, points = table
     ids, d = exact(points)
