@@ -53,14 +53,26 @@ def p4_frequencies(spark, d):
     return _frequencies(spark, d)
 
 
+def _clusters(spark, d):
+    return grid_clusters.written(grid_clusters.grid_clusters(table(spark, d, "image_vectors")), "grid-clusters")
+
+
 def p5_found(spark, d):
-    return grid_clusters.large_clusters(grid_clusters.grid_clusters(table(spark, d, "image_vectors")))
+    return grid_clusters.large_clusters(_clusters(spark, d)).select("id", "head_id")
 
 
 def p5_clusters(spark, d):
-    vectors = table(spark, d, "image_vectors")
-    found = grid_clusters.written(grid_clusters.large_clusters(grid_clusters.grid_clusters(vectors)), "grid-large")
-    return grid_clusters.describe_clusters(vectors, found)
+    """Every cluster, lone vectors too."""
+    sizes = grid_clusters.cluster_sizes(table(spark, d, "image_vectors"), _clusters(spark, d))
+    return sizes.withColumn("inertia", F.round("inertia", 1))
+
+
+def p5_typical(spark, d):
+    return grid_clusters.describe_clusters(table(spark, d, "image_vectors"), _clusters(spark, d))
+
+
+def p5_compared(spark, d):
+    return grid_clusters.compared(table(spark, d, "image_vectors"), _clusters(spark, d), table(spark, d, "kmeans_result"))
 
 
 def p6_found(spark, d):
@@ -97,7 +109,7 @@ def p9_repetition(spark, d):
     return repetition.repetition(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_ppmi, p3_found, p3_text, p4_found, p4_frequencies, p5_found, p5_clusters, p6_found, p6_neighbors, p7_ids, p8_found, p8_selection, p8_report, p9_found, p9_repetition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_ppmi, p3_found, p3_text, p4_found, p4_frequencies, p5_found, p5_clusters, p5_typical, p5_compared, p6_found, p6_neighbors, p7_ids, p8_found, p8_selection, p8_report, p9_found, p9_repetition)}
 
 _TF = """
 text_of AS (SELECT doc_id, max(text) AS text FROM corpus WHERE doc_id IS NOT NULL GROUP BY doc_id),
@@ -143,6 +155,12 @@ SELECT term, CASE WHEN pages < 3 OR total < 5 THEN 'rare' ELSE 'common' END AS m
     "p5_found": f"""
 WITH {_VECTORS}, heads AS (SELECT id, least(id, coalesce(min(b), id)) AS head_id FROM usable LEFT JOIN near ON id = a GROUP BY id)
 SELECT id, head_id FROM heads WHERE head_id IN (SELECT head_id FROM heads GROUP BY head_id HAVING count(*) >= 5)""",
+    "p5_clusters": f"""
+WITH {_VECTORS}, heads AS (SELECT id, least(id, coalesce(min(b), id)) AS head_id FROM usable LEFT JOIN near ON id = a GROUP BY id),
+x AS (SELECT head_id, i, CAST(v[i] AS DOUBLE) AS x FROM heads JOIN usable USING (id), range(1, 65) r(i)),
+s AS (SELECT head_id, sum(x * x) - sum(x) * sum(x) / count(*) AS e FROM x GROUP BY head_id, i),
+e AS (SELECT head_id, sum(e) AS inertia FROM s GROUP BY head_id)
+SELECT head_id, n AS size, round(inertia, 1) AS inertia FROM e JOIN (SELECT head_id, count(*) AS n FROM heads GROUP BY head_id) USING (head_id)""",
     "p6_found": f"""
 WITH {_VECTORS}, best AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM near)
 SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM best WHERE r <= 5""",

@@ -111,20 +111,37 @@ def test_nearest_block():
             assert b[a == ids[i]].tolist() == ids[rank].tolist()
 
 
-@pytest.mark.parametrize("hot", [100_000, 3])
-def test_clusters(table, hot):
+@pytest.mark.parametrize("how", [{}, {"width": 40.0, "grids": 6}, {"dense": 10**6}])
+def test_clusters(table, how):
+    """Also with cells that part most clusters, and with no cell dense enough to be joined to its neighbours."""
     df, points = table
     ids, d = exact(points)
     head = {int(i): int(min([i, *ids[d[k] <= 8000]])) for k, i in enumerate(ids)}
-    labels = grid_clusters.grid_clusters(df, hot=hot)
+    labels = grid_clusters.grid_clusters(df, **how).cache()
     assert {r.id: r.head_id for r in labels.collect()} == head
+    if how:
+        return
     size = Counter(head.values())
-    large = grid_clusters.large_clusters(labels).cache()
+    large = grid_clusters.large_clusters(labels)
     assert {r.id for r in large.collect()} == {i for i, h in head.items() if size[h] >= 5}
-    for r in grid_clusters.describe_clusters(df, large).collect():
-        x = np.stack([points[i] for i in head if head[i] == r.head_id])
-        assert r.size == len(x) and r.inertia == pytest.approx(((x - x.mean(0)) ** 2).sum(), rel=1e-6)
-        assert len(r.typical) == 5 and all(head[i] == r.head_id for i in r.typical)
+    cell = {r.id: r.cell for r in labels.collect()}
+    for r in grid_clusters.describe_clusters(df, labels).collect():
+        mine = [i for i in head if head[i] == r.head_id]
+        x = np.stack([points[i] for i in mine])
+        assert r.size == len(x) and r.inertia == pytest.approx(((x - x.mean(0)) ** 2).sum(), rel=1e-6, abs=1e-3)
+        most = Counter(cell[i] for i in mine)
+        assert len(r.typical) == min(5, len(x)) and set(r.typical) <= set(mine) and most[cell[r.typical[0]]] == max(most.values())
+    runs = df.sparkSession.createDataFrame([(1, [[1.0] * 64, None, [2.0] * 3]), (1, [[1.0] * 64]), (2, None), (None, [[1.0] * 64])], "run_id long, centroids array<array<float>>")
+    got = grid_clusters.compared(df, labels, runs).collect()
+    assert [(r.run_id, r.clusters, r.better) for r in got] == [(1, 1, True)]
+    assert got[0].inertia == pytest.approx(sum(((v - 1) ** 2).sum() for v in points.values()), rel=1e-9)
+
+
+def test_chains_are_one_cluster(spark):
+    """Links connect: a chain of vectors each within the radius of the next only."""
+    rows = [(i, [float(80 * i)] + [1.0] * 63) for i in (4, 0, 3, 1, 2, 9)]
+    got = {r.id: r.head_id for r in grid_clusters.grid_clusters(spark.createDataFrame(rows, V)).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 9: 9}
 
 
 def test_empty(spark):
@@ -132,5 +149,5 @@ def test_empty(spark):
     assert grid_clusters.grid_clusters(none).count() == 0
     assert posting_knn.similar_vectors(none).count() == 0
     one = spark.createDataFrame([(1, [1.0] * 64)], V)
-    assert [tuple(r) for r in grid_clusters.grid_clusters(one).collect()] == [(1, 1)]
+    assert [tuple(r)[:2] for r in grid_clusters.grid_clusters(one).collect()] == [(1, 1)]
     assert [r.near for r in posting_knn.similar_vectors(one).collect()] == [[]]
