@@ -206,8 +206,9 @@ def grid_clusters(vectors: DataFrame, radius2: float = 8_000.0, dim: int = 64, w
     """(id, head_id, cell): every usable vector's id with the smallest id of its cluster, alone or not, and its cell of
     the first grid.
 
-    A vector is joined only to one at a squared distance of at most ``radius2``, checked on whole vectors; a cluster is
-    what joins connect. Cells of ``dense`` vectors are joined to adjacent cells within ``reach`` of their
+    A vector is joined only to one at a squared distance of at most ``radius2``, checked on whole vectors. Where any two
+    of a cluster are within the radius and all others are not, clusters come out whole; of a longer chain what joins
+    connect is one cluster, and its parts may come out apart. Cells of ``dense`` vectors are joined to adjacent cells within ``reach`` of their
     stand-in (by default half the radius as it looks on the grid's axes). Then rounds of ``grids`` turned grids follow until one
     joins nothing: there two stand-ins at the radius share a cell with a chance of about 0.4 a grid, nearer ones more
     often, and all pairs of a cell are looked at through its leaders. Unusable vectors (see ``packed.usable``) have
