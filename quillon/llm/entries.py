@@ -21,16 +21,12 @@ def p1_ranking(spark, d):
     return _walked(spark, d)
 
 
-def _scored(spark, d):
-    return ppmi.ppmi(table(spark, d, "postings"), table(spark, d, "corpus"))
-
-
 def p2_found(spark, d):
-    return ppmi.marking_terms(_scored(spark, d))
+    return ppmi.marking_terms(table(spark, d, "postings"), table(spark, d, "corpus"))
 
 
 def p2_ppmi(spark, d):
-    return _scored(spark, d).withColumn("ppmi", F.round("ppmi", 6))
+    return ppmi.ppmi(table(spark, d, "postings"), table(spark, d, "corpus")).withColumn("ppmi", F.round("ppmi", 6))
 
 
 def p3_found(spark, d):
@@ -89,8 +85,7 @@ def p7_ids(spark, d):
 
 
 def p8_found(spark, d):
-    sizes = mixture.measured(table(spark, d, "documents"))
-    return mixture.targets(mixture.written(sizes, "mix-sizes"), table(spark, d, "mix_plan")).filter("short").select("source")
+    return mixture.short_sources(table(spark, d, "documents"), table(spark, d, "mix_plan"))
 
 
 def p8_selection(spark, d):

@@ -8,6 +8,8 @@ and its records are put in a random order locally.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,8 +23,10 @@ def source_key(column):
 
 
 def measured(documents: DataFrame, ranks: str = DEFAULT_RANKS) -> DataFrame:
-    """(doc_id, source, tokens): each row of documents; ``source`` without case and outer blanks."""
-    return with_token_counts(documents.select("doc_id", source_key(F.col("source")).alias("source"), "text"), ranks=ranks)
+    """(doc_id, source, tokens, digest): each row of documents; ``source`` without case and outer blanks, ``digest`` of the
+    text."""
+    rows = documents.select("doc_id", source_key(F.col("source")).alias("source"), F.xxhash64("text").alias("digest"), "text")
+    return with_token_counts(rows, ranks=ranks)
 
 
 def targets(sizes: DataFrame, plan: DataFrame) -> DataFrame:
@@ -63,19 +67,21 @@ def split_quotas(blocks: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix(documents: DataFrame, plan: DataFrame, ranks: str = DEFAULT_RANKS, shards: int = 16, block_docs: int = 64, most_blocks: int = 65_536, seed: int = 42, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(selection, report). The selection has (doc_id, source, repeat, shard, place): each use of a document.
+@dataclass
+class Blocks:
+    """What ``mix`` draws from: goals (a row for each source of the plan), marked documents, used blocks, and the tree's
+    leaves: (names, quota of block uses by shard and source, most uses by source)."""
 
-    A source of which f whole passes and a rest are wanted gives each document f times and, in hash order
-    of its blocks, further documents up to the target, the last included if at least half of it is within:
-    the share is met to half a document. No document is used more than ``max_repeats`` times. Documents
-    without a source of the plan, and those of no tokens, are not selected. The report has, besides
-    ``targets``' columns, ``reached`` (tokens of the selection), ``documents`` (uses) and ``actual`` share.
-    Null ids are kept as documents of their own; empty tables give an empty selection.
+    goals: DataFrame
+    docs: DataFrame
+    use: DataFrame
+    names: list[str]
+    quota: np.ndarray
+    most: np.ndarray
 
-    A source has ``block_docs`` documents a block or, above ``most_blocks`` blocks, so many more: the driver
-    holds block counts by source and quotas by shard only.
-    """
+
+def plan_blocks(documents: DataFrame, plan: DataFrame, ranks: str, shards: int, block_docs: int, most_blocks: int, seed: int, sizes: DataFrame | None) -> Blocks:
+    """Cuts sources into blocks, settles how often each is used, and divides the uses among shards by the splitting tree."""
     sizes = sizes if sizes is not None else written(measured(documents, ranks), "mix-sizes")
     goals = written(targets(sizes, plan), "mix-goals")
     want = goals.select("source", "tokens", "max_repeats", "used")
@@ -83,19 +89,49 @@ def mix(documents: DataFrame, plan: DataFrame, ranks: str = DEFAULT_RANKS, shard
     per = want.join(counts, "source").filter("tokens > 0 and used > 0")
     per = per.withColumn("blocks", F.least(F.ceil(F.col("docs") / block_docs), F.lit(most_blocks)).cast("int"))
     per = per.withColumn("passes", F.floor(F.col("used") / F.col("tokens")).cast("int")).withColumn("rest", F.col("used") - F.col("passes") * F.col("tokens"))
-    per = written(per.drop("max_repeats", "docs"), "mix-plan")  # one row for each source of the plan
-    order = F.xxhash64(F.lit(seed), "doc_id", F.monotonically_increasing_id())
-    docs = sizes.filter("tokens > 0").join(F.broadcast(per.select("source", "blocks")), "source").withColumn("mark", order).withColumn("block", F.pmod("mark", F.col("blocks")).cast("int")).drop("blocks")
+    per = written(per.drop("docs"), "mix-plan")  # one row for each source of the plan
+    # equal rows are numbered by their count, so that marks depend on content only, not on files or partitions
+    same = sizes.filter("tokens > 0").groupBy("doc_id", "source", "tokens", "digest").agg(F.count("*").alias("copies"))
+    rows = same.select("doc_id", "source", "tokens", "digest", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    mark = F.xxhash64(F.lit(seed), "doc_id", "digest", "copy")
+    docs = rows.join(F.broadcast(per.select("source", "blocks")), "source").withColumn("mark", mark).withColumn("block", F.pmod("mark", F.col("blocks")).cast("int")).drop("blocks", "digest", "copy")
     docs = written(docs, "mix-docs")
     sums = docs.groupBy("source", "block").agg(F.sum("tokens").alias("t"))
     before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("t").over(before), F.lit(0))).join(F.broadcast(per), "source")  # at most most_blocks rows a source
-    use = sums.select("source", "block", "before", "t", "passes", "rest", F.when(F.col("before") < F.col("rest"), F.col("passes") + 1).otherwise(F.col("passes")).alias("uses"))
-    use = written(use.filter("uses > 0"), "mix-blocks")
-    total = {r["source"]: r["n"] for r in use.groupBy("source").agg(F.sum("uses").alias("n")).collect()}
+    use = sums.select("source", "block", "before", "t", "passes", "rest", "max_repeats", F.when(F.col("before") < F.col("rest"), F.col("passes") + 1).otherwise(F.col("passes")).alias("uses"))
+    use = written(use, "mix-blocks")
+    total = {r["source"]: (r["n"], r["most"]) for r in use.groupBy("source").agg(F.sum("uses").alias("n"), F.sum("max_repeats").alias("most")).collect()}
     names = sorted(total)
+    quota = split_quotas(np.array([total[s][0] for s in names], np.int64), shards, seed) if names else np.zeros((shards, 0), np.int64)
+    return Blocks(goals, docs, use.filter("uses > 0"), names, quota, np.array([total[s][1] for s in names], np.int64))
+
+
+def short_sources(documents: DataFrame, plan: DataFrame, ranks: str = DEFAULT_RANKS, shards: int = 16, block_docs: int = 64, most_blocks: int = 65_536, seed: int = 42) -> DataFrame:
+    """(source): sources of the plan that cannot reach their weight. Candidates are those of whose blocks the tree's leaves
+    hold every allowed use (a source that falls short is used up); exact token sums then decide."""
+    b = plan_blocks(documents, plan, ranks, shards, block_docs, most_blocks, seed, None)
+    drawn = b.quota.sum(axis=0)
+    left = [n for n, d, m in zip(b.names, drawn, b.most) if d < m]  # sources of the plan only
+    return b.goals.filter(~F.col("source").isin(left) & F.col("short")).select("source")
+
+
+def mix(documents: DataFrame, plan: DataFrame, ranks: str = DEFAULT_RANKS, shards: int = 16, block_docs: int = 64, most_blocks: int = 65_536, seed: int = 42, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(selection, report). The selection has (doc_id, source, repeat, shard, place): each use of a document.
+
+    A source of which f whole passes and a rest are wanted gives each document f times and, in hash order
+    of its blocks, further documents up to the target, the last included if at least half of it is within:
+    the share is met to half a document. No document is used more than ``max_repeats`` times. Documents
+    without a source of the plan, and those of no tokens, are not selected. The report has, besides
+    ``targets``' columns, ``reached`` (tokens of the selection), ``documents`` (uses) and ``actual`` share.
+    Null ids are kept as documents of their own; empty tables give an empty selection.
+
+    A source has ``block_docs`` documents a block or, above ``most_blocks`` blocks, so many more: the driver
+    holds block counts by source and quotas by shard only.
+    """
+    cut_up = plan_blocks(documents, plan, ranks, shards, block_docs, most_blocks, seed, sizes)
+    goals, docs, use, names, quota = cut_up.goals, cut_up.docs, cut_up.use, cut_up.names, cut_up.quota
     spark = documents.sparkSession
-    quota = split_quotas(np.array([total[s] for s in names], np.int64), shards, seed) if names else np.zeros((shards, 0), np.int64)
     ends = np.cumsum(quota, axis=0)
     bounds = [(s, k, int(ends[k, i] - quota[k, i]), int(ends[k, i])) for i, s in enumerate(names) for k in range(shards) if quota[k, i]]
     bounds_df = F.broadcast(spark.createDataFrame(bounds, "source string, shard int, lo long, hi long"))  # shards x sources rows

@@ -32,10 +32,14 @@ def _bits(level: int, width: int) -> Column:
     return F.pmod(F.shiftright(h, width * level if level < 2 else 0), F.lit(1 << width)).cast("int")
 
 
-def spill(rows: DataFrame, most_rows: int, width: int, files: int = 8) -> list[str]:
-    """Writes ``rows`` by recursive radix partitioning; the folders of the final partitions."""
+def spill(rows: DataFrame, most_rows: int, width: int, files: int | None = None) -> tuple[list[str], DataFrame]:
+    """Writes ``rows`` by recursive radix partitioning; the folders of the final partitions, and all their rows.
+
+    A partition is written by ``files`` tasks, by default so many that each shuffle partition writes."""
     spark = rows.sparkSession
+    files = files or max(8, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) >> width))
     leaves: list[str] = []
+    final = spark.createDataFrame([], rows.schema)
     todo, level = rows, 0
     while todo is not None and level < 12:
         path = scratch(spark, f"radix-{level}")
@@ -47,9 +51,10 @@ def spill(rows: DataFrame, most_rows: int, width: int, files: int = 8) -> list[s
         counts = held.groupBy("radix").count().collect()  # one row for each partition
         over = [r["radix"] for r in counts if r["count"] > most_rows and level < 11]
         leaves += [f"{path}/radix={r['radix']}" for r in counts if r["radix"] not in set(over)]
+        final = final.unionByName((held.filter(~F.col("radix").isin(over)) if over else held).drop("radix"))  # prunes folders
         todo = held.filter(F.col("radix").isin(over)) if over else None
         level += 1
-    return leaves
+    return leaves, final
 
 
 def aggregate(spark, leaves: list[str], memory: str) -> DataFrame:
@@ -95,10 +100,8 @@ def term_frequencies(postings: DataFrame, corpus: DataFrame, rare_pages: int = 3
     if width is None:
         guess = max(1, postings.count()) * 2  # the text has about as many (term, page) again
         width = min(8, max(3, ceil(log2(guess / most_rows * 2)) if guess > most_rows else 3))
-    leaves = spill(rows, most_rows, width)
+    leaves, held = spill(rows, most_rows, width)
     terms = aggregate(spark, leaves, memory).groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("pages").alias("pages"))
-    kinds = "term string, doc_id long, stored long, counted long"
-    held = spark.read.schema(kinds).parquet(*leaves) if leaves else spark.createDataFrame([], kinds)
     pages = held.filter("stored > 0 or counted > 0").select("doc_id").distinct().agg(F.count("*").alias("all"))
     rare = (F.col("pages") < rare_pages) | (F.col("occurrences") < rare_occurrences)
     mark = F.when(rare, "rare").when(F.col("pages") > common_share * F.col("all"), "common")

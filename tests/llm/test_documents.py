@@ -152,3 +152,11 @@ def test_rare_repetition_outside_the_sample_is_flagged(spark):
     low = [r for r in got if r.doc_id > 3300]
     assert all(0.3 <= r.share < 0.34 for r in low) and all(r.anomalous for r in got if r.share >= 0.3)
     assert sum(r.anomalous for r in got) < len(got)
+
+
+def test_short_sources_and_layout(spark):
+    df, plan, (selection, report) = mixed(spark, {"a": 0.5, "b": 0.3, "c": 0.1, "missing": 0.1}, [1, 2, 3, 2])
+    short = {r.source for r in report.filter("short").collect()}
+    assert "missing" in short and {r.source for r in mixture.short_sources(df, plan, shards=4, block_docs=8).collect()} == short
+    again = mixture.mix(df.repartition(7).unionByName(df.limit(0)), plan, shards=4, block_docs=8)[0]
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, selection.collect()))

@@ -86,3 +86,26 @@ def test_hot_queries_end_like_others(spark):
     cool, hot = ({r.id: (r.position, r.stationarity) for r in rank_walk.rank_walk(*args, damping=0.5, max_iter=2, hot_rows=h).collect()} for h in (10**6, 10))
     assert {i: p for i, (p, _) in cool.items()} == {i: p for i, (p, _) in hot.items()}
     assert all(abs(hot[i][1] - cool[i][1]) < 1e-11 for i in cool)
+
+
+def test_heads_reach_their_bound(spark):
+    """The least stationarity of an agreed head holds on both ways, and keeps most other items out."""
+    rng = np.random.default_rng(11)
+    lists = [[1, 2, 3, *(int(i) for i in rng.permutation(np.arange(10, 60)))], [3, 9, 1, 2, *(int(i) for i in rng.permutation(np.arange(10, 60)))]]
+    args = tables(spark, rows_of(0, lists) + rows_of(1, [[4, 5], [5, 4]]))
+    for hot in (10**6, 50):
+        walked = rank_walk.rank_walk(*args, hot_rows=hot)
+        rows = walked.collect()
+        heads = {(r.query_no, r.id) for r in rows if r.lists_in == r.n_lists >= 2 and r.worst_rank <= 5}
+        reached = {(r.query_no, r.id) for r in rows if r.stationarity >= r.head_bound}
+        assert heads == {(0, 1), (0, 2), (0, 3), (1, 4), (1, 5)} <= reached and len(reached) < 0.3 * len(rows)
+        assert {tuple(r) for r in rank_walk.agreed_heads(walked).collect()} == heads
+
+
+def test_a_query_stops_by_itself():
+    one = [(0, k, i) for k in (1, 2) for i in ([1, 2, 3, 4] if k == 1 else [3, 1, 5])]
+    slow = [(1, k, i) for k in (1, 2, 3) for i in np.random.default_rng(k).permutation(300).tolist()]
+    cols = lambda rows: (np.array(c) for c in zip(*rows))
+    alone = rank_walk.walk(*cols(one), 0.85, 1e-4, 200)
+    beside = rank_walk.walk(*cols(one + slow), 0.85, 1e-4, 200)
+    assert all((a == b[: len(a)]).all() for a, b in zip(alone, beside))

@@ -50,7 +50,7 @@ def test_ppmi_by_formula(data):
     for r in rows:
         want = max(0.0, log(r.tf / whole / (total[r.term] / whole * length[r.doc_id] ** 0.75 / smooth)))
         assert (r.pages, r.total) == (pages[r.term], total[r.term]) and r.ppmi == pytest.approx(want, abs=1e-9)
-    found = {(r.term, r.doc_id) for r in ppmi.marking_terms(got).collect()}
+    found = {(r.term, r.doc_id) for r in ppmi.marking_terms(*data[:2]).collect()}
     assert found == {(t, d) for (t, d), n in truth.items() if n >= 4 and 2 <= pages[t] <= 12}
 
 
@@ -69,8 +69,8 @@ def test_frequencies(data, most_rows, width):
 
 def test_hot_term_is_split(spark):
     rows = spark.createDataFrame([("hot", d, 1, 0) for d in range(500)], "term string, doc_id long, stored long, counted long")
-    leaves = radix_counts.spill(rows, 50, 3)
-    assert len(leaves) > 5
+    leaves, held = radix_counts.spill(rows, 50, 3)
+    assert len(leaves) > 5 and held.count() == 500
     got = radix_counts.aggregate(spark, leaves, "200MB").groupBy("term").agg(F.sum("pages"), F.sum("occurrences")).collect()
     assert [tuple(r) for r in got] == [("hot", 500, 500)]
 
