@@ -123,7 +123,7 @@ class Bm25Index:
     """Ranked text search over (doc_id, text)."""
 
     def __init__(self, documents: DataFrame, k1: float = 1.2, b: float = 0.75):
-        self.index, self.k1, self.b = lexical.text_index(documents), k1, b
+        self.index, self.k1, self.b = lexical.written_index(documents), k1, b
 
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
         return lexical.bm25_topk(self.index, queries, k, self.k1, self.b)

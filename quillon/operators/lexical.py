@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from ..plans.lineage import written
 from .topk import topk_per
 
 
@@ -33,6 +37,14 @@ def text_index(documents: DataFrame) -> TextIndex:
     return TextIndex(postings, docs, terms, stats)
 
 
+def written_index(documents: DataFrame) -> TextIndex:
+    """The same index kept in the shared folder: texts are read and cut once, however many searches follow."""
+    index = text_index(documents)
+    postings, docs = written(index.postings, "text-postings"), written(index.docs, "text-docs")
+    stats = docs.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avgdl"))
+    return TextIndex(postings, docs, postings.groupBy("term").agg(F.count("*").alias("df")), stats)
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, times): a repeated term of a query counts each time."""
     terms = queries.filter("query_id is not null").select("query_id", F.explode(tokenize(F.col("text"))).alias("term"))
@@ -64,8 +76,62 @@ def ranked_by_score(scores: DataFrame, k: int) -> DataFrame:
     return topk_per(scored, k).select("query_id", "id", "dist", "score", "rank")
 
 
+def topk_in_blocks(weights: DataFrame, asked: DataFrame, docs: int, k: int, shard_docs: int = 50_000, query_block: int = 20_000) -> DataFrame:
+    """The k best (query_id, id) by summed ``times * weight`` over (term, doc_id, weight) and (query_id, term, times), all
+    above 0; ``docs`` is the number of documents.
+
+    Postings never meet queries in a join, which would make a row of every posting of every term of every query. A
+    task holds the asked terms' postings of a shard of documents and a block of queries and adds up one query after the other
+    over the shard's documents; k a query leave it. Shards are by hash of the document, so a term in a third of all
+    documents is spread over all of them."""
+    if k <= 0:
+        return ranked_by_score(weights.selectExpr("0L AS query_id", "doc_id AS id", "weight AS score"), 0)
+    asked = asked.select("query_id", "term", F.col("times").cast("double").alias("times"))
+    weights = weights.select("term", "doc_id", "weight").join(asked.select("term").distinct(), "term", "left_semi")
+    n = asked.agg(F.approx_count_distinct("query_id")).first()[0]
+    spread = min(int(weights.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs // 500))  # a few small shards also keep all cores at work
+    shards, blocks = max(1, spread, -(-docs // shard_docs)), max(1, -(-n // query_block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = weights.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"), "term", "doc_id", "weight")
+    asks = asked.select(every(shards).alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", "term", "times")
+
+    def of(p: pa.Table, q: pa.Table) -> pa.Table:
+        out: tuple[list, list, list] = ([], [], [])
+        if p.num_rows and q.num_rows:
+            names = pc.unique(q.column("term"))
+            code = pc.index_in(p.column("term"), names).to_numpy()
+            ids, doc = np.unique(p.column("doc_id").to_numpy(), return_inverse=True)
+            order = np.argsort(code, kind="stable")
+            doc, weight = doc[order], p.column("weight").to_numpy()[order]
+            ends = np.searchsorted(code[order], np.arange(len(names) + 1))
+            q = q.sort_by([("query_id", "ascending"), ("term", "ascending")])
+            qid, term, times = q.column("query_id").to_numpy(), pc.index_in(q.column("term"), names).to_numpy(), q.column("times").to_numpy()
+            cuts = np.r_[0, np.flatnonzero(np.diff(qid)) + 1, len(qid)]
+            total = np.zeros(len(ids))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                total[:] = 0
+                for t, n in zip(term[a:b], times[a:b]):
+                    part = slice(ends[t], ends[t + 1])
+                    total[doc[part]] += n * weight[part]
+                hit = np.flatnonzero(total > 0)
+                score = np.round(total[hit], 9)
+                single = score.astype(np.float32)
+                if len(hit) > k:
+                    near = single >= np.partition(single, len(hit) - k)[len(hit) - k]
+                    hit, score, single = hit[near], score[near], single[near]
+                best = np.lexsort((ids[hit], -single))[:k]
+                for held_, x in zip(out, (np.full(len(best), qid[a]), ids[hit[best]], score[best])):
+                    held_.append(x)
+        cols = [np.concatenate(x) if x else np.empty(0, kind) for x, kind in zip(out, (np.int64, np.int64, np.float64))]
+        return pa.table([pa.array(c) for c in cols], ["query_id", "id", "score"])
+
+    got = held.groupBy("shard", "block").cogroup(asks.groupBy("shard", "block")).applyInArrow(of, "query_id long, id long, score double")
+    return ranked_by_score(got, k)
+
+
 def bm25_topk(index: TextIndex, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    return ranked_by_score(bm25_scores(index, queries, k1, b), k)
+    """The k best documents of each query (see ``bm25_scores``)."""
+    return topk_in_blocks(bm25_weights(index, k1, b), query_terms(queries), index.docs.count(), k)
 
 
 def tfidf_idf(index: TextIndex) -> DataFrame:
@@ -79,8 +145,7 @@ def tfidf_topk(index: TextIndex, queries: DataFrame, k: int = 10) -> DataFrame:
     docs = docs.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id"))))
     asked = query_terms(queries).join(idf, "term").withColumn("qw", F.col("times") * F.col("idf"))
     asked = asked.withColumn("qw", F.col("qw") / F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy("query_id"))))
-    scores = asked.join(docs.select("term", "doc_id", "w"), "term").groupBy("query_id", F.col("doc_id").alias("id")).agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
-    return ranked_by_score(scores.filter("score > 0"), k)
+    return topk_in_blocks(docs.select("term", "doc_id", F.col("w").alias("weight")), asked.select("query_id", "term", F.col("qw").alias("times")), index.docs.count(), k)
 
 
 def index_bytes(index: TextIndex) -> DataFrame:

@@ -29,7 +29,7 @@ class HybridRetriever:
     _graph: DataFrame | None = field(default=None, repr=False)
 
     def index(self) -> lexical.TextIndex:
-        self._index = self._index or lexical.text_index(self.documents)
+        self._index = self._index or lexical.written_index(self.documents)
         return self._index
 
     def search_text_only(self, queries: DataFrame, k: int = 10) -> DataFrame:

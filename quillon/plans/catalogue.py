@@ -178,12 +178,22 @@ def _ranks(df: DataFrame) -> DataFrame:
     return df.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
-def _bm25(spark, d, **kw) -> DataFrame:
-    return lexical.bm25_topk(lexical.text_index(_documents(spark, d)), _questions(spark, d), K, **kw)
+def _index(spark, d) -> lexical.TextIndex:
+    return lexical.written_index(_documents(spark, d))
 
 
-def _tfidf(spark, d) -> DataFrame:
-    return lexical.tfidf_topk(lexical.text_index(_documents(spark, d)), _questions(spark, d), K)
+def _bm25(spark, d, index=None, **kw) -> DataFrame:
+    return lexical.bm25_topk(index or _index(spark, d), _questions(spark, d), K, **kw)
+
+
+def _tfidf(spark, d, index=None) -> DataFrame:
+    return lexical.tfidf_topk(index or _index(spark, d), _questions(spark, d), K)
+
+
+def _both(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Both systems' lists over one index, written since they are used more than once."""
+    index = _index(spark, d)
+    return written(_bm25(spark, d, index), "bm25"), written(_tfidf(spark, d, index), "tfidf")
 
 
 @query("SELECT doc_id, CAST(len(t) AS BIGINT) AS tokens, CAST(len(list_distinct(t)) AS BIGINT) AS terms FROM (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+'), lambda x: lower(x)) AS t FROM documents)")
@@ -247,7 +257,7 @@ f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
 
 @query(f"WITH {_DOCS}, {_QT}, {_bm25_sql('b')}, {_TFIDF}, {_rrf_sql(['b', 'tfidf'])} {_RANKS} f")
 def rrf_bm25_tfidf(spark, d):
-    return _ranks(fusion.reciprocal_rank_fusion([_bm25(spark, d), _tfidf(spark, d)], K))
+    return _ranks(fusion.reciprocal_rank_fusion(list(_both(spark, d)), K))
 
 
 @query(f"""WITH best AS (SELECT query_no AS query_id, list_id, id, min(dist) AS dist FROM ranked WHERE query_no IS NOT NULL AND list_id IS NOT NULL AND id IS NOT NULL AND dist IS NOT NULL AND NOT isnan(dist) GROUP BY ALL),
@@ -268,19 +278,21 @@ _HIT = "count(*) AS queries, " + ", ".join(f"round(coalesce(avg(CASE WHEN rank <
 def text_hit_rates(spark, d):
     gold = _gold(spark, d)
     one = lambda ranked, name: evaluate.hits_at(evaluate.gold_ranks(ranked, gold)).withColumn("method", F.lit(name))
-    return one(_bm25(spark, d), "bm25").unionByName(one(_tfidf(spark, d), "tfidf"))
+    bm25, tfidf = _both(spark, d)
+    return one(bm25, "bm25").unionByName(one(tfidf, "tfidf"))
 
 
 @query(f"{_HY}, n AS (SELECT count(*) AS queries FROM qs) SELECT queries, round((SELECT count(*) FROM b JOIN tfidf t ON b.query_id = t.query_id AND b.id = t.id) / (10 * queries), 6) AS overlap FROM n")
 def text_overlap(spark, d):
-    return evaluate.overlap(_bm25(spark, d), _tfidf(spark, d), _questions(spark, d))
+    return evaluate.overlap(*_both(spark, d), _questions(spark, d))
 
 
 @query(f"""{_HY} SELECT count(*) FILTER (a AND b) AS both, count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (NOT a AND b) AS only_b, count(*) FILTER (NOT a AND NOT b) AS neither, round(coalesce(avg(CASE WHEN a OR b THEN 1 ELSE 0 END), 0), 6) AS oracle
 FROM (SELECT coalesce(gb.rank <= 5, false) AS a, coalesce(gt.rank <= 5, false) AS b FROM gb JOIN gt USING (query_id))""")
 def text_contingency(spark, d):
     gold = _gold(spark, d)
-    return evaluate.contingency(evaluate.gold_ranks(_bm25(spark, d), gold), evaluate.gold_ranks(_tfidf(spark, d), gold))
+    bm25, tfidf = _both(spark, d)
+    return evaluate.contingency(evaluate.gold_ranks(bm25, gold), evaluate.gold_ranks(tfidf, gold))
 
 
 @query(f"WITH {_DOCS}, {_QT} SELECT (SELECT count(*) FROM qs) AS queries, count(*) AS with_gold, round(count(*) FILTER (len > 0) / (SELECT count(*) FROM qs), 6) AS ceiling FROM gold JOIN len ON gold_id = doc_id")
