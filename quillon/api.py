@@ -31,18 +31,23 @@ class FlatIndex:
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
         return exact.exact_knn(queries, self.vectors, k, self.metric, self.dim)
 
+    search_batch = search
+
 
 class GraphIndex:
     """Approximate search over sharded graphs. ``add`` builds further shards; nothing that exists is changed."""
 
-    def __init__(self, vectors: DataFrame | None, m: int = 16, ef_construction: int = 200, seed: int = 42, shard_rows: int = 50_000, *, tables: DataFrame | None = None, dim: int | None = None):
+    def __init__(self, vectors: DataFrame | None, m: int = 16, ef_construction: int = 200, seed: int = 42, shard_rows: int = 50_000, keep_pruned: bool = True, extend: bool = False, *, tables: DataFrame | None = None, dim: int | None = None):
         self.m, self.ef_construction, self.seed, self.shard_rows = m, ef_construction, seed, shard_rows
-        self.graph = tables if tables is not None else graph.build_graph(vectors, m, ef_construction, seed, shard_rows)
+        self.keep_pruned, self.extend = keep_pruned, extend
+        self.graph = tables if tables is not None else graph.build_graph(vectors, m, ef_construction, seed, shard_rows, keep_pruned=keep_pruned, extend=extend)
         self.dim = dim if dim is not None else dimension(vectors)
 
     def search(self, queries: DataFrame, k: int = 10, ef: int = 64) -> DataFrame:
         return graph.search_graph(self.graph, queries, k, ef)
 
+    search_batch = search
+
     def add(self, vectors: DataFrame) -> GraphIndex:
         """A new index that also holds ``vectors``; ids that are there already are an error."""
         d = dimension(vectors)
@@ -51,8 +56,8 @@ class GraphIndex:
         if vectors.join(self.graph.select("id"), "id", "left_semi").head(1):
             raise ValueError("some ids are in the index already")
         first = (self.graph.agg(F.max("shard")).first()[0] or 0) + 1
-        more = graph.build_graph(vectors, self.m, self.ef_construction, self.seed, self.shard_rows).withColumn("shard", F.col("shard") + first)
-        return GraphIndex(None, self.m, self.ef_construction, self.seed, self.shard_rows, tables=self.graph.unionByName(more), dim=self.dim or d)
+        more = graph.build_graph(vectors, self.m, self.ef_construction, self.seed, self.shard_rows, keep_pruned=self.keep_pruned, extend=self.extend).withColumn("shard", F.col("shard") + first)
+        return GraphIndex(None, self.m, self.ef_construction, self.seed, self.shard_rows, self.keep_pruned, self.extend, tables=self.graph.unionByName(more), dim=self.dim or d)
 
     def stats(self) -> DataFrame:
         return graph.graph_stats(self.graph)
@@ -61,7 +66,7 @@ class GraphIndex:
         return graph.check_invariants(self.graph, self.m)
 
     def save(self, root: str) -> int:
-        return snapshot.save({"graph": self.graph}, root, "graph", self.dim, {"m": self.m, "ef_construction": self.ef_construction, "seed": self.seed, "shard_rows": self.shard_rows})
+        return snapshot.save({"graph": self.graph}, root, "graph", self.dim, {"m": self.m, "ef_construction": self.ef_construction, "seed": self.seed, "shard_rows": self.shard_rows, "keep_pruned": self.keep_pruned, "extend": self.extend})
 
     @classmethod
     def load(cls, spark: SparkSession, root: str, version: int | None = None) -> GraphIndex:

@@ -47,7 +47,10 @@ def neg_cosine(a: Column, b: Column, dim: int | None = None) -> Column:
 METRICS: dict[str, Callable[..., Column]] = {"l2": l2_sq, "ip": neg_ip, "cosine": neg_cosine}
 
 
-def distance(metric: str, a: Column, b: Column, dim: int | None = None) -> Column:
+def distance(metric: str | Callable[..., Column], a: Column, b: Column, dim: int | None = None) -> Column:
+    """By name, or by a function of (a, b, dim)."""
+    if callable(metric):
+        return metric(a, b, dim)
     if metric not in METRICS:
         raise ValueError(f"metric {metric!r} is none of {sorted(METRICS)}")
     return METRICS[metric](a, b, dim)

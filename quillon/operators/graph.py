@@ -8,11 +8,9 @@ graph is a single one; with more, each holds about n / shards vectors and is sea
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import graph_level
@@ -143,7 +141,8 @@ def build_graph(vectors: DataFrame, m: int = 16, ef_construction: int = 200, see
 
 
 def search_graph(graph: DataFrame, queries: DataFrame, k: int = 10, ef: int = 64, query_chunk: int = 5_000, digits: int = 9) -> DataFrame:
-    """(query_id, id, dist, rank, distance_calls). Each chunk of queries meets each shard in one task."""
+    """(query_id, id, dist, rank, distance_calls). Each chunk of queries meets each shard in one task; ``distance_calls`` are
+    those of the query over all shards."""
     chunks = max(1, -(-queries.count() // query_chunk))
     shards = graph.select(F.col("shard").alias("at")).distinct()
     asked = queries.filter("embedding is not null").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
@@ -163,13 +162,14 @@ def search_graph(graph: DataFrame, queries: DataFrame, k: int = 10, ef: int = 64
             for qid, v in zip(q.column("query_id").to_pylist(), _floats(q.column("asked"))):
                 s.calls = 0
                 got = s.search(v, k, ef)
-                for d, i in got:
-                    for a, x in zip(out, (qid, int(ids[i]), round(d, digits), s.calls)):
+                for nth, (d, i) in enumerate(got):
+                    for a, x in zip(out, (qid, int(ids[i]), round(d, digits), 0 if nth else s.calls)):  # once a shard
                         a.append(x)
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.int64())], ["query_id", "id", "dist", "distance_calls"])
 
     got = held.groupBy("shard", "chunk").cogroup(asked.groupBy("at", "part")).applyInArrow(of, "query_id long, id long, dist double, distance_calls long")
-    return topk_per(got, k)
+    total = F.sum("distance_calls").over(Window.partitionBy("query_id"))  # at most k rows a shard
+    return topk_per(got.withColumn("distance_calls", total), k)
 
 
 def edges(graph: DataFrame) -> DataFrame:
@@ -201,6 +201,14 @@ def check_invariants(graph: DataFrame, m: int) -> DataFrame:
     return degree.unionByName(loops).unionByName(twice).unionByName(low).groupBy("violation").agg(F.count("*").alias("n"))
 
 
-def search_iter(graph: DataFrame, batches: Iterator[DataFrame], k: int = 10, ef: int = 64) -> Iterator[DataFrame]:
-    """Searches batch after batch over one unchanging graph."""
-    return (search_graph(graph, q, k, ef) for q in batches)
+def neighbor_heuristic(vectors: DataFrame, base_id: int, m: int, keep_pruned: bool = True) -> DataFrame:
+    """(id, place): the diverse neighbours that a node would link to, of all other vectors as candidates: in order of
+    (distance, id) one is kept if no kept one is nearer to it than the node is; with ``keep_pruned`` the nearest of the others
+    fill up to ``m``. For the candidates of one node, some thousand vectors."""
+    t = vectors.filter("id is not null and embedding is not null").select("id", "embedding").toArrow().sort_by("id")
+    ids = t.column("id").to_numpy()
+    g = ShardGraph(_floats(t.column("embedding")), np.zeros(len(ids), np.int64), m, 1, keep_pruned)
+    at = int(np.flatnonzero(ids == base_id)[0])
+    cands = sorted((d, i) for i, d in enumerate(g.dist(g.x[at], list(range(len(ids)))).tolist()) if i != at)
+    rows = [(int(ids[i]), n + 1) for n, i in enumerate(g.select(at, cands, m, 0))]
+    return vectors.sparkSession.createDataFrame(rows, "id long, place int")

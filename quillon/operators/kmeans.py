@@ -37,6 +37,13 @@ def update(assigned: DataFrame, dim: int, digits: int = 9) -> DataFrame:
     return means.select("cid", "n", F.array(*[F.round(f"m{i}", digits) for i in range(dim)]).alias("center"))
 
 
+def check_finite(centroids: np.ndarray) -> np.ndarray:
+    """The centroids; an error if any component is NaN or infinite, as one bad vector would make them."""
+    if not np.isfinite(centroids).all():
+        raise ValueError("a centroid is not finite: the vectors hold NaN or infinite values")
+    return centroids
+
+
 def lloyd(vectors: DataFrame, start: np.ndarray, iters: int = 25, tol: float = 1e-4) -> tuple[np.ndarray, float, int, int]:
     """(centroids, inertia, steps, reseeds). Stops when the inertia falls by less than ``tol`` of itself; the inertia
     is that of the last assignment. An empty cluster moves to the worst-served vector not yet taken."""
@@ -49,6 +56,7 @@ def lloyd(vectors: DataFrame, start: np.ndarray, iters: int = 25, tol: float = 1
         cids = sums.column("cid").to_numpy()
         inertia = float(np.sum(sums.column("inertia").to_numpy()))
         c[cids] = np.stack([sums.column(f"m{i}").to_numpy() for i in range(dim)], axis=1) if len(cids) else c[cids]
+        check_finite(c)
         empty = sorted(set(range(len(c))) - set(cids.tolist()))
         if empty:
             worst = got.filter("dist > 0").orderBy(F.desc("dist"), "id").limit(len(empty)).select("embedding").collect()  # at most k rows
@@ -76,10 +84,10 @@ def plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
 
 def train_local(x: np.ndarray, k: int, iters: int, tol: float, seed: int, n_init: int) -> dict:
     """Best of ``n_init`` runs on rows that fit one task (a bounded sample)."""
-    x = np.asarray(x, np.float64)
+    x = check_finite(np.asarray(x, np.float64))
     runs = []
     for attempt in range(n_init):
-        rng = np.random.default_rng(seed + 7919 * attempt)
+        rng = np.random.default_rng([seed, attempt])
         c, last, reseeds, steps = plus_plus(x, k, rng), None, 0, 0
         for _ in range(iters):
             d = np_distances(x, c)

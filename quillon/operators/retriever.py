@@ -28,6 +28,18 @@ class HybridRetriever:
     _index: lexical.TextIndex | None = field(default=None, repr=False)
     _graph: DataFrame | None = field(default=None, repr=False)
 
+    def check(self) -> HybridRetriever:
+        """Itself; an error unless there are as many vectors as documents and every vector's id is a document's, since an
+        unmatched one could never be named."""
+        docs = self.documents.filter("doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
+        if self.vectors is not None:
+            n, m = docs.count(), self.vectors.select("id").distinct().count()
+            if n != m or self.vectors.join(docs, "id", "left_anti").head(1):
+                raise ValueError(f"{m} vectors do not match {n} documents")
+        elif self.use_dense or self.use_graph:
+            raise ValueError("the retriever has no vectors")
+        return self
+
     def index(self) -> lexical.TextIndex:
         self._index = self._index or lexical.written_index(self.documents)
         return self._index

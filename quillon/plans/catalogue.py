@@ -255,6 +255,16 @@ def _rrf_sql(lists: list[str], k: int = K) -> str:
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CAST(score AS FLOAT) DESC, id) AS rank FROM f_s) WHERE rank <= {k})"""
 
 
+@query(f"""WITH {_V} SELECT a.id, b.id AS other, round(list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS dist FROM v a JOIN v b ON b.id = a.id + 1""")
+def successive_distances(spark, d):
+    """The distance of each vector to the one of the next id."""
+    from ..functions.distance import l2_sq
+
+    v = _vectors(spark, d)
+    after = v.select((F.col("id") - 1).alias("id"), F.col("id").alias("other"), F.col("embedding").alias("b"))
+    return v.join(after, "id").select("id", "other", F.round(l2_sq(F.col("embedding"), F.col("b"), dimension(v)), 6).alias("dist"))
+
+
 @query(f"WITH {_DOCS}, {_QT}, {_bm25_sql('b')}, {_TFIDF}, {_rrf_sql(['b', 'tfidf'])} {_RANKS} f")
 def rrf_bm25_tfidf(spark, d):
     return _ranks(fusion.reciprocal_rank_fusion(list(_both(spark, d)), K))
@@ -295,6 +305,15 @@ def text_contingency(spark, d):
     return evaluate.contingency(evaluate.gold_ranks(bm25, gold), evaluate.gold_ranks(tfidf, gold))
 
 
+@query(f"""{_HY}, h AS (SELECT (SELECT avg(CASE WHEN rank <= 5 THEN 1 ELSE 0 END) FROM gb) AS a, (SELECT avg(CASE WHEN rank <= 5 THEN 1 ELSE 0 END) FROM gt) AS b)
+SELECT round(a, 6) AS bm25, round(b, 6) AS tfidf, round(CASE WHEN round(b, 6) > 0 THEN (round(a, 6) - round(b, 6)) / round(b, 6) ELSE 0 END, 6) AS lift FROM h""")
+def text_lift(spark, d):
+    """BM25 against TF-IDF at five: the relative lift."""
+    gold = _gold(spark, d)
+    a, b = (evaluate.hits_at(evaluate.gold_ranks(x, gold)).select(F.col("hit_at_5").alias(n)) for x, n in zip(_both(spark, d), ("bm25", "tfidf")))
+    return a.join(F.broadcast(b)).select("bm25", "tfidf", F.round(evaluate.relative_lift(F.col("bm25"), F.col("tfidf")), 6).alias("lift"))  # one row each
+
+
 @query(f"WITH {_DOCS}, {_QT} SELECT (SELECT count(*) FROM qs) AS queries, count(*) AS with_gold, round(count(*) FILTER (len > 0) / (SELECT count(*) FROM qs), 6) AS ceiling FROM gold JOIN len ON gold_id = doc_id")
 def text_ceiling(spark, d):
     """The share of queries whose gold page has any token."""
@@ -495,6 +514,28 @@ def graph_recall_curve(spark, d):
     return out
 
 
+@query(f"""WITH {_V}, f AS (SELECT min(id) AS base FROM v), c AS (SELECT a.id, a.e, round(list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 12) AS dist FROM v a, v b, f WHERE b.id = base AND a.id <> base),
+o AS (SELECT *, row_number() OVER (ORDER BY dist, id) AS n FROM c),
+near AS (SELECT x.n AS n, y.n AS m FROM o x JOIN o y ON y.n < x.n WHERE list_sum(list_transform(list_zip(x.e, y.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) < x.dist)
+SELECT id, CAST(n AS INTEGER) AS place FROM o WHERE n <= 1 UNION ALL
+SELECT id, CAST(2 AS INTEGER) AS place FROM o WHERE n = (SELECT min(n) FROM o WHERE n > 1 AND n NOT IN (SELECT n FROM near WHERE m = 1))""")
+def neighbor_heuristic(spark, d):
+    """The first two diverse neighbours of the smallest id, all others being its candidates."""
+    v = _vectors(spark, d)
+    first = v.agg(F.min("id")).first()[0]
+    return graph.neighbor_heuristic(v, first, 2, keep_pruned=False)
+
+
+@query("SELECT count(*) AS queries, 1 AS above FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND vec_id % 100 = 0")
+def graph_search_floor(spark, d):
+    """Whether a beam far narrower than the shards reaches a recall of 0.9 on the project's queries."""
+    v = _vectors(spark, d)
+    q = _asked(v)
+    g = written(graph.build_graph(v, shard_rows=1_000), "graph")
+    found = graph.search_graph(g, q, K, ef=64)
+    return evaluate.recall_at_k(found, exact.exact_knn(q, v, K, "l2", dimension(v)), K, base=v.select("id")).agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).cast("int").alias("above"))
+
+
 @query()
 def graph_stats(spark, d):
     return graph.graph_stats(graph.build_graph(_vectors(spark, d)))
@@ -536,12 +577,42 @@ def records_paired(spark, d):
     return records.paired(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), "user_id", "event_id", "value")
 
 
-@query("""WITH p AS (SELECT * FROM (VALUES (362, 0.0330 / 0.0570), (10000, 1.0985 / 0.3012), (100000, 10.5510 / 0.6786)) t(n, speedup)),
+@query("""WITH p AS (SELECT CAST(100 * l_linenumber + count(*) % 100 AS BIGINT) AS n, l_linenumber / 3.5 AS speedup FROM lineitem WHERE l_linenumber IS NOT NULL GROUP BY l_linenumber),
 w AS (SELECT n, speedup, lead(n) OVER (ORDER BY n) AS n2, lead(speedup) OVER (ORDER BY n) AS s2 FROM p)
-SELECT CAST(n AS BIGINT) AS n_low, CAST(n2 AS BIGINT) AS n_high, round(exp(ln(n) + (1 - speedup) / (s2 - speedup) * (ln(n2) - ln(n))), 6) AS n_cross FROM w WHERE speedup < 1 AND s2 >= 1 ORDER BY n LIMIT 1""")
+SELECT n AS n_low, n2 AS n_high, round(exp(ln(n) + (1 - speedup) / (s2 - speedup) * (ln(n2) - ln(n))), 6) AS n_cross FROM w WHERE speedup < 1 AND s2 >= 1 ORDER BY n LIMIT 1""")
 def crossover_point(spark, d):
-    sweep = [(362, 0.0330 / 0.0570), (10_000, 1.0985 / 0.3012), (100_000, 10.5510 / 0.6786)]
-    return records.crossover(spark.createDataFrame(sweep, "n long, speedup double"))
+    """Line numbers stand for the sizes of a sweep, kept as records in a file: n_base and the measured speedup."""
+    lines = table(spark, d, "lineitem").filter("l_linenumber is not null").groupBy("l_linenumber").agg(F.count("*").alias("c"))
+    points = lines.select((100 * F.col("l_linenumber") + F.col("c") % 100).cast("long").alias("n_base"), F.struct((F.col("l_linenumber") / 3.5).alias("speedup")).alias("measurements"))
+    path = scratch(spark, "sweep-records")
+    records.append_records(points, path)
+    return records.crossover(records.read_records(spark, path).select(F.col("n_base").alias("n"), F.col("measurements.speedup").alias("speedup")))
+
+
+_ENV_OF = "event_id % 5 = 0 AS debug, event_id % 11 = 0 AS san, event_type = 'click' AS lost, event_id % 7 = 0 AS dirty"
+
+
+@query(f"""WITH e AS (SELECT event_id, value, user_id, {_ENV_OF} FROM events WHERE event_id IS NOT NULL),
+r AS (SELECT *, CASE WHEN debug THEN 'build type is Debug, not Release' WHEN san THEN 'built with sanitizers (address)' WHEN lost THEN 'git SHA could not be resolved' WHEN dirty THEN 'working tree is dirty' END AS reason FROM e)
+SELECT coalesce(reason, '') AS reason, count(*) AS records, count(*) FILTER (reason IS NULL AND user_id % 3 <> 0) AS published FROM r GROUP BY 1""")
+def records_published(spark, d):
+    """Events stand for runs: written as records with their environment, read back, and gated."""
+    e = table(spark, d, "events").filter("event_id is not null").selectExpr("event_id", "value", "user_id", *_ENV_OF.split(", "))
+    env = e.select(
+        "event_id", "value", "user_id", F.when(F.coalesce("lost", F.lit(False)), "unknown").otherwise("abc1234").alias("git_sha"), F.col("dirty").alias("git_dirty"),
+        F.when(F.col("debug"), "Debug").otherwise("Release").alias("build_type"), F.when(F.col("san"), "address").otherwise("none").alias("sanitizers"),
+    )
+    env = env.withColumn("reason", F.coalesce(records.untrusted_reason(*(F.col(c) for c in ("git_sha", "git_dirty", "build_type", "sanitizers"))), F.lit("")))
+    run = env.select(
+        F.lit("flat").alias("index"), F.col("event_id").alias("n_base"), F.struct(F.when(F.col("user_id") % 3 == 0, "threads").otherwise("flat").alias("kind")).alias("index_params"), F.struct(F.col("value").alias("qps_mean")).alias("measurements"),
+        F.struct("git_sha", "git_dirty", "build_type", "sanitizers", F.col("reason").alias("untrusted_reason"), (F.col("reason") == "").alias("trusted")).alias("env"),
+    )
+    path = scratch(spark, "records")
+    records.append_records(run, path)
+    back = records.read_records(spark, path)
+    good = records.publishable(back, without=("threads",)).groupBy(F.col("env.untrusted_reason").alias("reason")).agg(F.count("*").alias("published"))
+    every = back.groupBy(F.col("env.untrusted_reason").alias("reason")).agg(F.count("*").alias("records"))
+    return every.join(good, "reason", "left").select("reason", "records", F.coalesce("published", F.lit(0)).alias("published"))
 
 
 @query("""SELECT event_type, list(d ORDER BY d) AS days, list(n ORDER BY d) AS counts FROM (SELECT event_type, CAST(dayofmonth(ts) AS INTEGER) AS d, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL) GROUP BY event_type""")
@@ -641,6 +712,8 @@ def sql_function_knn(spark, d):
 SELECT query_id, id, dist FROM r WHERE rank <= {K}""")
 def lateral_knn(spark, d):
     v = _vectors(spark, d)
+    if _asked(v).count() > exact.BROADCAST_QUERIES:
+        return exact.exact_knn_block(_asked(v), v, K).select("query_id", "id", F.round("dist", 6).alias("dist"))
     sqlfuncs.register(spark, v, k=K)
     _asked(v).createOrReplaceTempView("quillon_asked")
     return spark.sql("SELECT q.query_id, n.id, n.dist FROM quillon_asked q, LATERAL knn_at(q.embedding) n")

@@ -42,7 +42,7 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Whole or not at all: written beside and renamed."""
+    """A new file, whole or not at all: written beside and renamed. One that is there stays and is an error."""
     fs, p, jvm = _fs(spark, path)
     part = jvm.org.apache.hadoop.fs.Path(path + ".part")
     out = fs.create(part, True)
@@ -50,15 +50,19 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    fs.delete(p, False)
-    if not fs.rename(part, p):
+    if fs.exists(p) or not fs.rename(part, p):
         raise SnapshotError(f"can't publish {path}")
 
 
 def versions(spark: SparkSession, root: str) -> int:
-    """The newest published version; 0 for none."""
-    text = _read_text(spark, f"{root}/CURRENT")
-    return int(text) if text else 0
+    """The newest published version, that is the highest with a manifest; 0 for none. There is no pointer to replace, so a
+    reader always finds a version and a crash loses none."""
+    fs, p, jvm = _fs(spark, root)
+    if not fs.exists(p):
+        return 0
+    names = (s.getPath().getName() for s in fs.listStatus(p))
+    known = sorted((int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()), reverse=True)
+    return next((v for v in known if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/v{v}/manifest.json"))), 0)
 
 
 def save(tables: dict[str, DataFrame], root: str, kind: str, dim: int, params: dict | None = None, carry: dict | None = None) -> int:
@@ -75,7 +79,6 @@ def save(tables: dict[str, DataFrame], root: str, kind: str, dim: int, params: d
         held[name] = {"at": f"v{version}/{name}", "rows": rows, "hash": mark, "schema": df.schema.json()}
     manifest = {"format": FORMAT, "version": VERSION, "kind": kind, "dim": dim, "params": params or {}, "tables": held}
     _write_text(spark, f"{at}/manifest.json", json.dumps(manifest))
-    _write_text(spark, f"{root}/CURRENT", str(version))
     return version
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.distance import METRICS, distance, l2_normalize, l2_sq, neg_ip
 from quillon.operators import evaluate, exact, graph, kmeans, pq, topk
+from quillon.operators.retriever import HybridRetriever
 from quillon.plans.schema import DimensionError, dimension
 
 V = "id long, embedding array<float>"
@@ -160,3 +161,37 @@ def test_level_ratio(spark):
     n = {r.level: r["count"] for r in spark.range(20000).select(graph_level(F.col("id"), 16).alias("level")).groupBy("level").count().collect()}
     above = sum(c for lv, c in n.items() if lv >= 1)
     assert 0.75 / 16 < above / 20000 < 1.25 / 16
+
+
+def test_nan_comes_last_on_both_ways(spark):
+    nan = float("nan")
+    base = spark.createDataFrame([(1, [nan, 1.0]), (2, [9.0, 9.0]), (3, [0.0, 0.0]), (4, None)], "id long, embedding array<float>")
+    q = spark.createDataFrame([(0, [1.0, 1.0]), (1, [0.0, 0.0])], "query_id long, embedding array<float>")
+    for metric in ("l2", "cosine", "ip"):
+        few, many = ([(r.query_id, r.id, r.rank) for r in got.orderBy("query_id", "rank").collect()] for got in (exact.exact_knn(q, base, 3, metric, 2), exact.exact_knn(q, base, 3, metric, 2, most_broadcast=1)))
+        assert few == many and few
+    assert [r[1] for r in [(r.rank, r.id) for r in exact.exact_knn_block(q, base, 3).filter("query_id = 0").orderBy("rank").collect()]] == [3, 2, 1]
+    own = exact.exact_knn(q, base.filter("id > 1"), 1, lambda a, b, dim: F.abs(a[0] - b[0]).cast("double"))
+    assert {(r.query_id, r.id) for r in own.collect()} == {(0, 3), (1, 3)}
+
+
+def test_guards(spark):
+    truth = spark.createDataFrame([(0, 1), (0, 9)], "query_id long, id long")
+    with pytest.raises(ValueError):
+        evaluate.recall_at_k(truth.withColumn("rank", F.lit(1)), truth, 2, base=spark.range(5))
+    with pytest.raises(ValueError):
+        kmeans.kmeans(spark.createDataFrame([(1, [float("nan"), 1.0]), (2, [1.0, 2.0])], "id long, embedding array<float>"), k=2)
+    docs = spark.createDataFrame([(0, "a", "x"), (1, "b", "y")], "doc_id long, doc_key string, text string")
+    v = spark.createDataFrame([(0, [1.0]), (7, [2.0])], "id long, embedding array<float>")
+    with pytest.raises(ValueError):
+        HybridRetriever(docs, v, use_dense=True).check()
+    assert HybridRetriever(docs, v.withColumn("id", F.least("id", F.lit(1))), use_dense=True).check()
+    assert [r[0] for r in spark.createDataFrame([(2.0, 1.0), (2.0, 0.0)], "a double, b double").select(evaluate.relative_lift(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0]
+    assert spark.createDataFrame([(float(x),) for x in (4, 1, 3, 2)], "v double").agg(evaluate.upper_median("v")).first()[0] == 3.0
+
+
+def test_distance_calls_are_summed_over_shards(spark, cloud):
+    base = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(np.asarray(cloud)[:90])], "id long, embedding array<float>")
+    q = base.limit(3).withColumnRenamed("id", "query_id")
+    got = graph.search_graph(graph.build_graph(base, m=4, ef_construction=20, shards=3), q, 5, ef=10).collect()
+    assert all(len({r.distance_calls for r in got if r.query_id == i}) == 1 for i in {r.query_id for r in got}) and min(r.distance_calls for r in got) > 30

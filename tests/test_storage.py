@@ -48,9 +48,13 @@ def test_append_stream(spark, tmp_path):
     append.run_available(stream(), root, str(tmp_path / "c"))
     got = {r.id: r.embedding for r in append.current(spark, root).collect()}
     assert got == {1: [0.5], 2: [2.0], 3: [3.0]} and snapshot.versions(spark, root) == 2
+    more = append.append_batch(root, compact=2)
+    more(spark.createDataFrame([([7.0],), ([6.0],), (None,)], "embedding array<float>"), 5)  # ids are assigned
+    assert {r.id: r.embedding for r in append.current(spark, root).collect()} == got | {4: [6.0], 5: [7.0]}
+    assert len(snapshot.load(spark, root, "vectors")[1]["tables"]) == 1
     add = append.append_batch(root)
     add(spark.createDataFrame([(8, [8.0])], V), 1)  # a batch handed over again
-    assert snapshot.versions(spark, root) == 2
+    assert snapshot.versions(spark, root) == 3
 
 
 def test_xvecs(spark, tmp_path):
@@ -94,9 +98,22 @@ def test_records(spark, tmp_path):
     (tmp_path / "r.jsonl").write_text('{"tag":"t","n_base":5,"measurements":{"qps_mean":2.0}}\n{broken\n')
     with pytest.raises(Exception):
         records.read_records(spark, str(tmp_path / "r.jsonl")).collect()
-    env = spark.createDataFrame([("abc", False, "Release", ""), ("", False, "Release", ""), ("abc", True, "Release", ""), ("abc", False, "Debug", ""), ("abc", False, "Release", "asan")], "sha string, dirty boolean, build string, san string")
+    (tmp_path / "ok.jsonl").write_text('{"tag":"t","n_base":5,"index_params":{"M":16,"m":8,"kind":"x"},"measurements":{"qps_mean":2.0}}\n{"tag":"u"}\n')
+    back = records.read_records(spark, str(tmp_path / "ok.jsonl"))
+    records.append_records(back, str(tmp_path / "again"))
+    for df in (back, records.read_records(spark, str(tmp_path / "again"))):
+        assert {(r.tag, r.index_params and (r.index_params.graph_m, r.index_params.m)) for r in df.collect()} == {("t", (16, 8)), ("u", None)}
+    env = spark.createDataFrame([("abc", False, "Release", "none"), ("unknown", False, "Release", "none"), ("abc", True, "Release", "none"), ("abc", False, "Debug", "none"), ("abc", False, "Release", "address"), ("abc", None, "Release", "none")], "sha string, dirty boolean, build string, san string")
     got = [r[0] for r in env.select(records.untrusted_reason(*map(F.col, env.columns))).collect()]
-    assert got == [None, "no commit", "uncommitted changes", "not a release build", "sanitizers on"]
+    assert got == [None, "git SHA could not be resolved", "working tree is dirty", "build type is Debug, not Release", "built with sanitizers (address)", "working tree is dirty"]
+    env = records.environment(spark).first()
+    assert env.peak_rss_mib > 0 and env.trusted == (env.untrusted_reason == "")
+    with pytest.raises(ValueError):
+        records.markdown(spark.range(5), ["id"], most=4)
+    assert json.loads(records.summary_json(spark.createDataFrame([(1, None)], "a int, b string"))) == {"a": 1, "b": None}
+    search = lambda q, k: q.limit(k)
+    assert [r.queries for r in records.measure(search, spark.range(3), 2, trials=2).collect()] == [3, 3]
+    assert records.sweep(spark.range(4), spark.range(2), [2, 4], lambda v: search, lambda v: search, 1, 1).count() == 2
     rows = spark.createDataFrame([(1, 1, 2.0), (1, 2, 4.0), (2, 1, 3.0)], "k int, pos int, v double")
     assert {tuple(r) for r in records.latest_per_key(rows, ["k"], "pos").collect()} == {(1, 2, 4.0), (2, 1, 3.0)}
     assert {tuple(r) for r in records.paired(rows, rows.filter("k = 1"), "k", "pos", "v").collect()} == {(1, 4.0, 4.0, 1.0)}
@@ -118,6 +135,24 @@ def test_written_is_read_from_the_shared_folder(spark):
     df = lineage.written(spark.range(5), "t")
     assert df.count() == 5 and "Scan parquet" in df._jdf.queryExecution().toString().replace("FileScan", "Scan")
     assert lineage.shared_dir(spark)
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    lineage.clear(spark)
+    assert not os.path.exists(path)
+
+
+def test_cluster_without_a_folder_is_an_error():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = {"x": 1}
+
+    Session.conf = type("C", (), {"get": staticmethod(lambda k, d: d)})()
+    with pytest.raises(RuntimeError):
+        lineage.shared_dir(Session())
 
 
 def test_entry_without_extras(spark):
