@@ -189,16 +189,19 @@ def similar_vectors(vectors: DataFrame, k: int = 5, dim: int = 64, limit: float
         wanted = ids.filter(F.pmod("id", F.lit(every)) == 0)
         asked = written(wanted.join(reps.select("v", "rep"), "v").select("rep").distinct(), "knn-asked")
     found = nearest_reps(reps, n, k, dim, limit, queries=asked, **index)
-    others = found.join(reps.select(F.col("rep").alias("other"), F.col("near").alias("ids")), "other")
+    copies = written(reps.filter(F.size("near") > 1), "knn-copies")  # the others stand for themselves
+    others = found.join(copies.select(F.col("rep").alias("other"), F.col("near").alias("ids")), "other", "left")
+    others = others.select("rep", "dist", F.coalesce("ids", F.array("other")).alias("ids"))
     spread = others.select("rep", F.transform("ids", lambda i: F.struct(F.col("dist").alias("dist"), i.alias("id"))).alias("c"))
     spread = spread.groupBy("rep").agg(F.flatten(F.collect_list("c")).alias("c"))
-    own = reps.join(asked, "rep", "left_semi") if every > 1 else reps
-    near = own.join(spread, "rep", "left").select(
-        "rep", "v", "near",
-        F.slice(F.array_sort(F.concat(F.transform("near", lambda i: F.struct(F.lit(0.0).alias("dist"), i.alias("id"))), F.coalesce("c", F.array().cast("array<struct<dist:double,id:bigint>>")))), 1, 2 * k + 2).alias("c"),
-    )
-    lone = near.filter(F.size("near") == 1).select(F.col("rep").alias("id"), "c")
-    copied = ids.join(near.filter(F.size("near") > 1).select("v", "c"), "v").select("id", "c")
+    own = reps.select("rep", "near")
+    own = own.join(asked, "rep", "left_semi") if every > 1 else own
+    same = F.transform("near", lambda i: F.struct(F.lit(0.0).alias("dist"), i.alias("id")))
+    near = own.join(spread, "rep", "left")
+    near = near.select("rep", F.size("near").alias("n"), F.slice(F.array_sort(F.concat(same, F.coalesce("c", F.array().cast("array<struct<dist:double,id:bigint>>")))), 1, 2 * k + 2).alias("c"))
+    near = written(near, "knn-near")
+    lone = near.filter("n = 1").select(F.col("rep").alias("id"), "c")
+    copied = ids.join(copies.select("v", "rep"), "v").select("id", "rep").join(near.filter("n > 1").select("rep", "c"), "rep").select("id", "c")
     rows = lone.unionByName(copied)
     if every > 1:
         rows = rows.filter(F.pmod("id", F.lit(every)) == 0)
