@@ -83,48 +83,64 @@ def encode(vectors: DataFrame, book: Codebook, digits: int = 9) -> DataFrame:
     return vectors.filter("embedding is not null").select("id", "embedding").mapInArrow(of, "id long, code array<int>")
 
 
-def adc_topk(queries: DataFrame, codes: DataFrame, book: Codebook, k: int = 10, digits: int = 9, most_queries: int = 20_000) -> DataFrame:
-    """(query_id, id, dist, rank) by summed table distances over all codes. Queries go to the codes in chunks of at
-    most ``most_queries``, so their tables never outgrow a task; each batch of codes keeps k a query."""
+def _scan(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, code: np.ndarray, book: Codebook, k: int, digits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The k best (query, id, distance) of each query over some codes."""
+    split = book.split(q)
+    order = np.argsort(ids, kind="stable")
+    ids, code = ids[order], code[order]
+    keep = min(k, len(ids))
+    for s in range(0, len(q), 64):
+        d = np.zeros((len(q[s : s + 64]), len(ids)))
+        for j in range(book.m):
+            d += np_distances(split[s : s + 64, j], book.parts[j])[:, code[:, j]]
+        d = np.round(d, digits)
+        r, c = np.nonzero(d <= np.partition(d, keep - 1, axis=1)[:, keep - 1 : keep])
+        best = np.lexsort((c, d[r, c], r))
+        r, c = r[best], c[best]
+        good = np.arange(len(r)) - np.searchsorted(r, r) < keep
+        yield q_ids[s + r[good]], ids[c[good]], d[r[good], c[good]]
+
+
+def adc_topk(queries: DataFrame, codes: DataFrame, book: Codebook, k: int = 10, digits: int = 9, most_queries: int = 20_000, query_block: int = 2_048, code_block: int = 65_536) -> DataFrame:
+    """(query_id, id, dist, rank) by summed table distances over all codes. Up to ``most_queries`` go to the codes, where
+    each batch keeps k a query; more are met in blocks, a task for each pair of a query block and a code block."""
     spark = codes.sparkSession
+    queries = queries.filter("embedding is not null").select("query_id", "embedding")
+    out = "query_id long, id long, dist double"
+    if k <= 0:
+        return topk_per(spark.createDataFrame([], out), k)
     n = queries.count()
-    chunks = max(1, -(-n // most_queries))
-    out = None
-    for chunk in range(chunks):
-        part = queries.filter("embedding is not null").filter(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == chunk).select("query_id", "embedding").toArrow()
-        if not part.num_rows:
-            continue
-        qs = np.array(part.column("embedding").to_pylist(), np.float64)
-        held = spark.sparkContext.broadcast((part.column("query_id").to_numpy(), qs, book))
-
-        def of(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+    names = ["query_id", "id", "dist"]
+    if n <= most_queries:
+        part = queries.toArrow()  # at most most_queries rows
+        held = spark.sparkContext.broadcast((part.column("query_id").to_numpy(), np.array(part.column("embedding").to_pylist(), np.float64).reshape(n, book.dim), book))
+
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q_ids, q, bk = held.value
-            split = bk.split(q)
             for b in batches:
-                if not b.num_rows:
-                    continue
-                ids = b.column(0).to_numpy()
-                code = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                order = np.argsort(ids, kind="stable")
-                ids, code = ids[order], code[order]
-                for s in range(0, len(q), 64):
-                    d = np.zeros((len(q[s : s + 64]), len(ids)))
-                    for j in range(bk.m):
-                        d += np_distances(split[s : s + 64, j], bk.parts[j])[:, code[:, j]]
-                    d = np.round(d, digits)
-                    keep = min(k, len(ids))
-                    bound = np.partition(d, keep - 1, axis=1)[:, keep - 1 : keep]
-                    r, c = np.nonzero(d <= bound)
-                    best = np.lexsort((c, d[r, c], r))
-                    r, c = r[best], c[best]
-                    good = np.arange(len(r)) - np.searchsorted(r, r) < keep
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[s + r[good]]), pa.array(ids[c[good]]), pa.array(d[r[good], c[good]])], ["query_id", "id", "dist"])
-
-        got = codes.select("id", "code").mapInArrow(of, "query_id long, id long, dist double")
-        out = got if out is None else out.unionByName(got)
-    if out is None or k <= 0:
-        out = spark.createDataFrame([], "query_id long, id long, dist double")
-    return topk_per(out, k)
+                if b.num_rows and len(q):
+                    code = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                    for cols in _scan(q_ids, q, b.column(0).to_numpy(), code, bk, k, digits):
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+
+        return topk_per(codes.select("id", "code").mapInArrow(of, out), k)
+    shared = spark.sparkContext.broadcast(book)
+    nq, nb = -(-n // query_block), max(1, -(-codes.count() // code_block))
+    part_of = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(part_of("query_id", nq).alias("qb"), every(nb).alias("bb"), "query_id", "embedding")
+    held_codes = codes.select(every(nq).alias("qb"), part_of("id", nb).alias("bb"), "id", "code")
+
+    def pair(q: pa.Table, c: pa.Table) -> pa.Table:
+        parts = []
+        if q.num_rows and c.num_rows:
+            x = q.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(q.num_rows, -1)
+            code = c.column("code").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(c.num_rows, -1)
+            parts = list(_scan(q.column("query_id").to_numpy(), x, c.column("id").to_numpy(), code, shared.value, k, digits))
+        cols = [np.concatenate(x) for x in zip(*parts)] if parts else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        return pa.table([pa.array(x) for x in cols], names)
+
+    return topk_per(asked.groupBy("qb", "bb").cogroup(held_codes.groupBy("qb", "bb")).applyInArrow(pair, out), k)
 
 
 def rerank_topk(queries: DataFrame, shortlist: DataFrame, vectors: DataFrame, k: int = 10, dim: int | None = None, digits: int = 9) -> DataFrame:

@@ -5,15 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VECTORS = "id long, embedding array<float>"
-NEIGHBORS = "query_id long, id long, dist double, rank int"
-TRUTH = "query_id long, neighbors array<int>"
-POSTINGS = "term string, doc_id long, tf int"
-CODEBOOK = "sub int, code int, centroid array<float>"
-CODES = "id long, code array<int>"
-GRAPH_NODES = "shard int, id long, level int"
-GRAPH_EDGES = "shard int, layer int, src long, neighbors array<long>"
-
 
 class DimensionError(ValueError):
     pass

@@ -101,9 +101,7 @@ class _Writer(DataSourceWriter):
         self.path = options["path"].removeprefix("file://").removeprefix("file:")
         self.kind = kind
         os.makedirs(self.path, exist_ok=True)
-        if overwrite:
-            for f in glob.glob(f"{self.path}/part-*"):
-                os.remove(f)
+        self.old = glob.glob(f"{self.path}/part-*") if overwrite else []
 
     def write(self, rows):
         from pyspark import TaskContext
@@ -124,6 +122,8 @@ class _Writer(DataSourceWriter):
         return Written(name)
 
     def commit(self, messages):
+        for f in self.old:  # only when the new files are whole
+            os.remove(f)
         for m in messages:
             if m is not None and m.path:
                 os.rename(m.path, os.path.join(os.path.dirname(m.path), os.path.basename(m.path)[1:]))

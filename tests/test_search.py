@@ -195,3 +195,12 @@ def test_distance_calls_are_summed_over_shards(spark, cloud):
     q = base.limit(3).withColumnRenamed("id", "query_id")
     got = graph.search_graph(graph.build_graph(base, m=4, ef_construction=20, shards=3), q, 5, ef=10).collect()
     assert all(len({r.distance_calls for r in got if r.query_id == i}) == 1 for i in {r.query_id for r in got}) and min(r.distance_calls for r in got) > 30
+
+
+def test_many_queries_are_scanned_in_blocks(spark, cloud):
+    base, q = vectors(spark, cloud), vectors(spark, cloud[:30], "query_id")
+    book = pq.first_vectors_codebook(base, 8, 4, 16)
+    codes = pq.encode(base, book)
+    rows = lambda **kw: sorted(map(tuple, pq.adc_topk(q, codes, book, 5, **kw).collect()))
+    assert rows() == rows(most_queries=3, query_block=7, code_block=64) and len(rows()) == 150
+    assert pq.adc_topk(q.limit(0), codes, book, 5).count() == 0
