@@ -117,6 +117,60 @@ def test_nothing_is_bounded_by_size():
     assert "\n\n" not in scan_repair.repair(text, None, lang)[0]
 
 
+def test_beyond_the_bound_nothing_is_lost(spark):
+    """Title words, long words, parts of hyphenated words and letter shapes that are not at hand count as those that are."""
+    long, heads = "donaudampfschifffahrtsgesellschaften", ("summary", "journal", "cabinet")
+    rows = []
+    for d in range(180):
+        lines = [f"Monthly harbour {heads[d % 3]}", "", f"The council returned {long if d < 20 else 'another'} document", "between tar and the harbour", "banana banan bana bananas nana ana" if d < 60 else "the inspector"]
+        lines.append("with far-reaching and constitutional pressure." if d < 60 else "and a banona-post." if d < 63 else "and the engine.")
+        rows.append((d, None, "\n".join(lines)))
+    odd = ["Month1y harb0ur surnmary", "", "The council donaudarnpfschifffahrtsgesellschaftcn document", "between far and the banona", "of the c0nst1tut10na1 pressure."]
+    rows.append((500, None, "\n".join(odd)))
+    df = spark.createDataFrame(rows, CORPUS)
+    whole, few, words, lines = (
+        {r.doc_id: (r.text, sorted((m.line_no, m.kind) for m in r.marks)) for r in scan_repair.scan_repair(df, **most).collect()}
+        for most in ({}, {"most_words": 2, "most_templates": 1}, {"most_words": 2}, {"most_templates": 1})
+    )
+    text = f"The council {long} document between far and the banana of the constitutional pressure."
+    assert few == whole and words == whole and lines == whole
+    assert whole[500] == (text, [(1, "furniture"), (3, "misread"), (4, "misread"), (5, "misread")])
+
+
+def test_misreadings_are_found_by_form():
+    for seen, ways in scan_repair.CONFUSIONS.items():
+        assert all(scan_repair.form(true) == scan_repair.form(seen) for true, _ in ways)
+    assert not {c for made in scan_repair.FORM.values() for c in made} & set(scan_repair.FORM)  # so letters may be replaced in any order
+    rng = random.Random(3)
+    known = {"".join(rng.choice("ceoalinrmdhu") for _ in range(rng.randrange(2, 6))): 5 for _ in range(20_000)}
+    lang = scan_repair.Language(known, {}, 1_000)
+    for w in rng.sample(sorted(known), 300):
+        for seen in (w, w.replace("o", "0"), w.replace("m", "rn")):
+            for most in (1, 2, 4):
+                assert lang.alike(seen, most) == {c: cost for c, cost in lang.candidates(seen, most).items() if c in known and c != seen}
+
+
+def test_title_words_beyond_the_bound(spark):
+    """The keys that two strings have in common find all that ``Kin`` finds."""
+    rng = random.Random(4)
+    known = {"".join(rng.choice("abc") for _ in range(rng.randrange(3, 8))) for _ in range(150)}
+    asked = {"".join(rng.choice("abcd") for _ in range(rng.randrange(1, 9))) for _ in range(300)}
+    kin = scan_repair.Kin(known)
+    every = scan_repair.keyed(spark.createDataFrame([("title", w, w, 9) for w in known], "kind string, w string, word string, count long"))
+    rows = spark.createDataFrame([(i, " ".join(sorted(asked)[i::3]), None) for i in range(3)], "doc_id long, text string, page_no int")
+
+    def ask(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for d, text, found in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "found"))):
+                got = set(text.split()) - {x["w"] for x in found or ()}
+                yield pa.RecordBatch.from_arrays([pa.array([d] * len(got), pa.int64()), pa.array(["title"] * len(got)), pa.array(sorted(got), pa.string())], ["doc_id", "kind", "w"])
+
+    got = {x.w for r in scan_repair.settled(rows, ask, every).collect() for x in r.found or ()}
+    assert got == {w for w in asked if w in kin}
+
+
 def test_paragraphs_are_the_cheapest_chain():
     rng = random.Random(5)
     for n in (1, 2, 13, 14, 40):
