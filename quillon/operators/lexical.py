@@ -56,11 +56,12 @@ def bm25_idf(index: TextIndex) -> DataFrame:
     return index.terms.join(F.broadcast(index.stats)).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def bm25_weights(index: TextIndex, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(term, doc_id, weight): what a term of a query adds to a document's score, once for every posting."""
+def bm25_weights(index: TextIndex, k1: float = 1.2, b: float = 0.75, kept: tuple[str, ...] = ()) -> DataFrame:
+    """(term, doc_id, weight): what a term of a query adds to a document's score, once for every posting; ``kept`` are
+    further columns of the postings."""
     rows = index.postings.join(index.docs, "doc_id").join(bm25_idf(index).select("term", "idf"), "term").join(F.broadcast(index.stats.select("avgdl")))  # one row
     ratio = F.when(F.col("avgdl") > 0, F.col("len") / F.col("avgdl")).otherwise(F.lit(0.0))
-    return rows.select("term", "doc_id", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * ratio))).alias("weight"))
+    return rows.select(*kept, "term", "doc_id", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * ratio))).alias("weight"))
 
 
 def bm25_scores(index: TextIndex, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -69,6 +70,19 @@ def bm25_scores(index: TextIndex, queries: DataFrame, k1: float = 1.2, b: float
     return hits.groupBy("query_id", F.col("doc_id").alias("id")).agg(F.sum(F.col("times") * F.col("weight")).alias("score"))
 
 
+def bm25_pair_scores(documents: DataFrame, queries: DataFrame, pairs: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, id, score): ``bm25_scores`` of the given ``pairs`` (query_id, id) alone, where they share a term.
+
+    Terms and lengths are counted over all documents, but only the pairs' documents meet queries, each its own."""
+    pairs = pairs.select("query_id", "id").distinct()
+    every = text_index(documents)
+    named = text_index(documents.select("doc_id", "text").join(pairs.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    asked = pairs.withColumnRenamed("id", "doc_id").join(query_terms(queries), "query_id")
+    postings = named.postings.join(asked, ["doc_id", "term"])
+    hits = bm25_weights(TextIndex(postings, named.docs, every.terms, every.stats), k1, b, ("query_id", "times"))
+    return hits.groupBy("query_id", F.col("doc_id").alias("id")).agg(F.sum(F.col("times") * F.col("weight")).alias("score"))
+
+
 def ranked_by_score(scores: DataFrame, k: int) -> DataFrame:
     """(query_id, id, dist, score, rank): dist is the negated score at single precision, which decides the rank;
     scores are first rounded to nine digits so that summation order decides nothing."""

@@ -48,6 +48,27 @@ def test_bm25_laws(spark, index):
     assert lexical.index_bytes(index).first().doc_count == 5
 
 
+def most_joined(plan):
+    """The largest number of rows that a join of an executed plan gave."""
+    name = plan.nodeName()
+    inner = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if name.endswith("QueryStage") else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in name else 0
+    return max([own, *map(most_joined, inner)])
+
+
+def test_bm25_of_pairs_joins_no_others(spark, tmp_path):
+    from quillon.plans import catalogue
+
+    n = 150
+    spark.createDataFrame([(i, f"k{i}", f"the cat number {i % 7} " + "mat " * (i % 3)) for i in range(n)] + [(n, None, "the lost"), (n + 1, "k3", None)], "doc_id long, doc_key string, text string").write.parquet(f"{tmp_path}/corpus.parquet")
+    spark.createDataFrame([(i, f"k{i}", f"the cat the {i % 7}") for i in range(n)] + [(n, "nowhere", "cat"), (n + 1, "k1", None), (n + 2, "k1", "dog")], "query_no long, gold_key string, question string").write.parquet(f"{tmp_path}/text_queries.parquet")
+    df = catalogue.bm25_score_pairs(spark, str(tmp_path))
+    got = {(r.query_id, r.id): r.score for r in df.collect()}
+    assert most_joined(df._jdf.queryExecution().executedPlan()) <= 4 * n
+    every = lexical.bm25_scores(lexical.text_index(catalogue._documents(spark, str(tmp_path))), catalogue._questions(spark, str(tmp_path))).filter("query_id = id").collect()
+    assert got == {(r.query_id, r.id): pytest.approx(r.score, abs=1e-6) for r in every} and len(got) == n
+
+
 def test_tfidf(spark, index):
     got = lexical.tfidf_topk(index, ask(spark, "cat nowhere"), 5).orderBy("rank").collect()
     assert [r.id for r in got] == [1, 0] and 0 < got[0].score <= 1
