@@ -76,6 +76,41 @@ def test_tfidf(spark, index):
     assert same.id == 2 and same.score == pytest.approx(1.0)
 
 
+def test_best_in_shard_is_exact():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for docs, terms, k in ((3_000, 40, 10), (3_000, 40, 120), (7, 5, 3)):
+        has = rng.random((terms, docs)) < rng.choice([0.004, 0.2, 0.9], (terms, 1))
+        has[0] = True
+        code, doc = np.nonzero(has)
+        ids = np.sort(rng.choice(10**6, docs, replace=False))
+        weight = np.round(rng.gamma(2, 1, len(code)), 1) + 0.1  # many ties
+        n = rng.integers(1, min(terms, 8) + 1, 60)
+        starts = np.r_[0, np.cumsum(n)]
+        qcode, qtimes = np.concatenate([rng.choice(terms, x, replace=False) for x in n]), rng.choice([1, 1, 1, 2, 5], starts[-1])
+        qtimes[:3] = 50_000  # doesn't fit 16 bits
+        scale = rng.choice([1.0, 0.37], 60)
+        q, i, s = lexical.best_in_shard(code, doc, weight, ids, terms, qcode, qtimes, starts, scale, k, rows=8, batch=500)
+        for a in range(60):
+            total = np.zeros(docs)
+            for c, t in zip(qcode[starts[a] : starts[a + 1]], qtimes[starts[a] : starts[a + 1]]):
+                total[doc[code == c]] += t * weight[code == c]
+            score = np.round(total * scale[a], 9)
+            best = np.lexsort((ids, -score.astype(np.float32)))
+            best = best[total[best] > 0][:k]
+            assert i[q == a].tolist() == ids[best].tolist() and s[q == a].tolist() == score[best].tolist()
+
+
+def test_equal_questions_are_searched_once(spark, index):
+    asked = ask(spark, "the cat", "cat birds", "cat the", "cat the!")
+    got, same = lexical.topk_in_blocks(index, asked, 3, [("bm25", 1.2, 0.75), ("tfidf",)])
+    assert {r.query_id for r in got.collect()} == {0, 1} and {tuple(r) for r in same.collect()} == {(0, 0), (1, 1), (2, 0), (3, 0)}
+    for both, one in zip(lexical.bm25_and_tfidf(index, asked, 3), (lexical.bm25_topk(index, asked, 3), lexical.tfidf_topk(index, asked, 3))):
+        rows = {tuple(r) for r in both.collect()}
+        assert rows == {tuple(r) for r in one.collect()} and len({r[0] for r in rows}) == 4
+
+
 def lists(spark, *ids):
     return [spark.createDataFrame([(0, i, k + 1) for k, i in enumerate(x)], "query_id long, id long, rank int") for x in ids]
 
